@@ -17,6 +17,8 @@ from pyspark.sql import Window as W
 
 ACCURACY = 10_000
 MARGIN = 0.002
+# Below this many values a bracket could miss a neighbouring rank, so all are kept.
+SMALL = 5_000
 
 
 def unpivot(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -63,8 +65,9 @@ def long_quantiles(
             high = F.least(low + 1, F.col("_n") - 1)
             weight = pos - low
         # Wide edges keep the extreme quantiles safe against sketch rounding.
-        lo = F.lit(float("-inf")) if probs[name] - margin <= 0 else F.col("_b")[2 * i]
-        hi = F.lit(float("inf")) if probs[name] + margin >= 1 else F.col("_b")[2 * i + 1]
+        tiny = F.col("_n") < SMALL
+        lo = F.lit(float("-inf")) if probs[name] - margin <= 0 else F.when(tiny, F.lit(float("-inf"))).otherwise(F.col("_b")[2 * i])
+        hi = F.lit(float("inf")) if probs[name] + margin >= 1 else F.when(tiny, F.lit(float("inf"))).otherwise(F.col("_b")[2 * i + 1])
         targets.append(
             F.struct(
                 F.lit(name).alias("name"),

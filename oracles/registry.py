@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("telemetry",)
+_MODULES = ("telemetry", "scoring")
 
 
 def all_oracles() -> dict[str, str]:
