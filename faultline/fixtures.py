@@ -13,6 +13,9 @@ from faultline.session import prepare
 # Windows of 12 h every 6 h with 1 h tolerance suit the 30-day test stream.
 TEST_POLICY = WindowingPolicy(length_s=43_200, stride_s=21_600, tolerance_s=3_600)
 
+# The surrogate score tops out near 0.7: lower limits make every flag branch occur.
+TEST_THRESHOLDS = {"payments-api": 0.58, "orders-api": 0.56, "checkout-api": 0.60}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     prepare(spark)

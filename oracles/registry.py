@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("telemetry", "scoring")
+_MODULES = ("telemetry", "scoring", "signals")
 
 
 def all_oracles() -> dict[str, str]:
