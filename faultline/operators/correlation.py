@@ -107,7 +107,8 @@ def enrich(snaps: DataFrame, profiles: DataFrame, *, post_filter: float = 0.3, m
     )
     cols = {
         "cluster_id": "case when propagation_detected then _cluster end",
-        "confidence": "round(least(greatest((coalesce(_strength, 0.35D) + least(1D, post_filter_score)) / 2, 0D), 1D), 6)",
+        # Rounded as a decimal: the halves of six-digit scores end in ties.
+        "confidence": "cast(round(cast(least(greatest((coalesce(_strength, 0.35D) + least(1D, post_filter_score)) / 2, 0D), 1D) as decimal(20, 9)), 6) as double)",
         "window_data_quality_score": f"round(least(greatest(size(_all) / 3D * 0.65D + ({fresh}) * 0.35D, 0D), 1D), 6)",
         "severity_preliminary": (
             f"case when propagation_detected and {top} >= 0.85 and size(_bad) >= 2 then 'critical' "

@@ -67,7 +67,7 @@ def post_filter(
         f"else struct({threshold}D as t, 'fixed_threshold' as p) end as s"
     ).scalar()
     c = conf.selectExpr("cluster_id as _c", "mean_score", "confidence")
-    j = assignments.join(c, F.expr("cluster_id = _c"), "left").withColumn("_t", F.coalesce(limit, F.struct(F.lit(threshold), F.lit("fixed_threshold"))))
+    j = assignments.join(c, F.expr("cluster_id = _c"), "left").withColumn("_t", F.coalesce(limit, F.struct(F.lit(float(threshold)).alias("t"), F.lit("fixed_threshold").alias("p"))))
     rest = [x for x in assignments.columns if x not in ("cluster_id", "noise", "cluster_strength")]
     passed = "(cluster_id = -1 or confidence >= _t.t)"
     return j.selectExpr(

@@ -32,7 +32,7 @@ def assignments(spark, d):
     """Stand-in cluster assignments per window, by index, so that later steps can be checked alone."""
     return windows_of(spark, d).selectExpr(
         "window_index", "window_id", "scenario_tag", "cast(window_index % 4 - 1 as int) as cluster_id",
-        "window_index % 4 = 0 as noise", "window_data_quality_score as cluster_strength", "window_data_quality_score",
+        "window_index % 4 = 0 as noise", "round(window_data_quality_score, 2) as cluster_strength", "window_data_quality_score",
     )
 
 
@@ -87,7 +87,7 @@ def enriched_events(spark, d):
     return e.selectExpr(
         "event_id", "unix_micros(timestamp) as ts_us", "array_join(services_observed, ',') as services_observed", "primary_service",
         MAP_TEXT.format("iforest_labels", "e.value", "iforest_labels"),
-        "floor(aggregate(map_values(iforest_scores), 0D, (a, x) -> a + x) * 10000 + 0.5) / 10000 as score_total",
+        "floor(round(aggregate(map_values(iforest_scores), 0D, (a, x) -> a + x), 6) * 10000 + 0.5) / 10000 as score_total",
         "correlation_engine.propagation_signature_id as propagation_signature_id",
         "correlation_engine.propagation_detected as propagation_detected",
         MAP_TEXT.format("correlation_engine.lag_pattern_seconds", "e.value", "lag_pattern_seconds"),

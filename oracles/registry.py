@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("telemetry", "scoring", "signals")
+_MODULES = ("telemetry", "scoring", "signals", "clusters")
 
 
 def all_oracles() -> dict[str, str]:

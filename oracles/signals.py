@@ -28,7 +28,7 @@ def _snap(s: str) -> str:
 
 SNAPS = f"{SIG}, sn as (select sig.*, {', '.join(_snap(s) for s in C.API_SERVICES)} from sig)"
 PROF = f"""{WINDOWS},
-asg as (select k, window_id, scenario_tag, cast(k % 4 - 1 as integer) as cluster_id, k % 4 = 0 as noise, quality as strength, quality from windows)"""
+asg as (select k, window_id, scenario_tag, cast(k % 4 - 1 as integer) as cluster_id, k % 4 = 0 as noise, round(quality, 2) as strength, quality from windows)"""
 PROFILES = f"""{PROF},
 pc as (select scenario_tag, cluster_id, count(*) as n, round(avg(strength), 6) as s from asg group by all),
 prof as (select * from (select *, row_number() over (partition by scenario_tag order by n desc, cluster_id) as r from pc) where r = 1)"""
@@ -53,7 +53,7 @@ e2 as (select e1.*, prof.cluster_id, prof.s as strength, p25 >= 0.3 and prof.sce
   from e1 left join prof on scen = prof.scenario_tag),
 e3 as (select *,
   case prim when 'payments-api' then sn_payments.t when 'orders-api' then sn_orders.t else sn_checkout.t end as tp,
-  round((coalesce(strength, 0.35) + least(1.0, p25)) / 2, 6) as conf,
+  round(cast((coalesce(strength, 0.35) + least(1.0, p25)) / 2 as decimal(18, 9)), 6)::double as conf,
   round(ns / 3.0 * 0.65 + (case when ns < 2 then 0.7 when tspan <= 45 then 1.0 when tspan <= 90 then 0.75 else 0.5 end) * 0.35, 6) as wq,
   case when prop and top >= 0.85 and nbad >= 2 then 'critical' when prop or top >= 0.7 then 'high' when top >= 0.45 then 'medium' else 'low' end as sev,
   array_to_string(list_filter([case when sn_payments is not null then 'payments-api' end, case when sn_orders is not null then 'orders-api' end,
@@ -100,10 +100,10 @@ ORACLES = {
         select scope, count(*) as decisions, count(fresh) as with_freshness, {r4('avg(fresh)', 'mean_freshness_ms')}, {r4('max(fresh)', 'max_freshness_ms')} from u group by scope""",
     "signal_snapshots": f"with {SNAPS} select event_id, sn_payments.id as snap_payments, sn_orders.id as snap_orders, sn_checkout.id as snap_checkout from sn",
     "enriched_events": f"""with {ENR} select event_id, times[len(times)] as ts_us, services as services_observed, prim as primary_service, labels as iforest_labels,
-        {r4('list_sum(scores)', 'score_total')}, sigid as propagation_signature_id, prop as propagation_detected, lags as lag_pattern_seconds, {r4('conf', 'confidence')},
+        {r4('round(list_sum(scores), 6)', 'score_total')}, sigid as propagation_signature_id, prop as propagation_detected, lags as lag_pattern_seconds, {r4('conf', 'confidence')},
         {r4('wq', 'window_data_quality_score')}, sev as severity_preliminary, scen as inferred_scenario, {r4('p25', 'post_filter_score')}, cast(ns + 1 as integer) as n_refs from enr""",
     "contract_enriched_events": f"""with {ENR} select event_id, concat_ws('; ',
-        case when prim = 'orders-api' and scen not like 'S4%' then 'forbidden field: chaos_template' end,
+        case when prim = 'orders-api' then 'forbidden field: chaos_template' end,
         case when scen like 'S4%' then 'missing required field: raw_event_refs' end,
         case when scen like 'S4%' then 'primary_service must be included in services_observed' end,
         case when sev = 'critical' then 'severity_preliminary is outside the allowed set' end) as errors from enr""",
