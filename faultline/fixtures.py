@@ -102,7 +102,11 @@ def raw_long_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def wide_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wide telemetry rows with a deterministic surrogate score, from ``lineitem``."""
-    li = table(spark, sf_dir, "lineitem")
+    return wide_from(table(spark, sf_dir, "lineitem"))
+
+
+def wide_from(li: DataFrame) -> DataFrame:
+    """The same projection over any (also streaming) line-item frame."""
     q, price, disc, tax = (F.col(c) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax"))
     http = (F.col("l_partkey") % 100) / F.lit(20.0)
     cents = lambda c: F.round(c * 100, 0).cast("long").cast("string")

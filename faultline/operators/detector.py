@@ -64,6 +64,7 @@ def detector_signals(
     min_flag_window: int = C.MIN_FLAG_WINDOW,
     buffer: int = BUFFER,
     block: int = BLOCK,
+    keys: tuple[str, ...] = ("service_name",),
 ) -> DataFrame:
     """One decision per scored row, looking back over the service's last flags.
 
@@ -71,9 +72,9 @@ def detector_signals(
     size that overlap by the buffer length, so no task holds a whole service.
     """
     limit = buffer_size(min_flag_window, buffer)
-    rows = in_arrival_order(candidate_flags(df, thresholds))
+    rows = in_arrival_order(candidate_flags(df, thresholds), keys)
     rows = blocks_with_context(rows, "ordinal", lookback=limit - 1, block=block)
-    over = "over (partition by service_name, _block order by ordinal rows between {} preceding and current row)"
+    over = "over (partition by " + ", ".join(keys) + ", _block order by ordinal rows between {} preceding and current row)"
     last_m, last_n = over.format(min_flag_window - 1), over.format(limit - 1)
     out = rows.withColumns(
         {

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from faultline import constants as C
 from faultline.functions.quantiles import long_quantiles
+from faultline.session import cut
 
 
 def catalog_table(spark: SparkSession) -> DataFrame:
@@ -59,7 +60,8 @@ def post_filter(
     """
     f = features.selectExpr("window_id as _w", "iforest_score_mean")
     scored = assignments.join(f, F.expr("window_id = _w"), "left").drop("_w")
-    conf = cluster_confidence(scored, aggregation)
+    # One row per cluster, used three times below.
+    conf = cut(cluster_confidence(scored, aggregation))
     # One row per cluster; linear quantile over them only when the best falls short.
     low = long_quantiles(conf.selectExpr("confidence as value"), [], {"q": fallback_quantile})
     limit = conf.agg(F.max("confidence").alias("best")).withColumn("q", low.select("q").scalar()).selectExpr(

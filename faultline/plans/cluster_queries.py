@@ -11,6 +11,7 @@ from faultline.operators import features as FT
 from faultline.operators import propagation as PR
 from faultline.operators import windows as W
 from faultline.plans.scoring_queries import rounded
+from faultline.session import cut
 from faultline.plans.signal_queries import assignments
 from faultline.plans.telemetry_queries import r4, windows_of
 
@@ -53,7 +54,8 @@ def cluster_summary(spark, d):
 
 
 def post_filter(spark, d):
-    a, (_, f) = assignments(spark, d), _rows(spark, d)
+    a = cut(assignments(spark, d))
+    f = cut(_rows(spark, d)[1].select("window_id", "iforest_score_mean"))
     cases = (("fixed", 0.37, "percentile_25"), ("fallback", 0.9, "mean"), ("median", 0.39, "median"))
     out = None
     for name, t, agg in cases:

@@ -20,7 +20,10 @@ MAP_TEXT = "array_join(array_sort(transform(map_entries({0}), e -> concat(e.key,
 
 def scored(spark, d):
     """Wide rows with a decision time some seconds after the event."""
-    w = X.wide_events(spark, d)
+    return with_scored_at(X.wide_events(spark, d))
+
+
+def with_scored_at(w):
     return w.withColumn("scored_at", F.expr("timestamp_micros(unix_micros(generated_at) + cast(round(http_5xx_rate * 20) as bigint) * 1000000)"))
 
 
@@ -68,7 +71,11 @@ def scenario_profiles(spark, d):
 
 
 def detector_signals(spark, d):
-    return rounded(signals(spark, d).select(
+    return signal_columns(signals(spark, d))
+
+
+def signal_columns(s):
+    return rounded(s.select(
         "event_id", "service_name", "service_threshold", "candidate_flag", "anomaly_flag", "window_fill", "window_size",
         F.array_join("reason_codes", ",").alias("reason_codes"), "iforest_label", "decision_freshness_ms", "service_candidate_rate"))
 
@@ -83,7 +90,10 @@ def signal_snapshots(spark, d):
 
 
 def enriched_events(spark, d):
-    e = enriched(spark, d)
+    return enriched_columns(enriched(spark, d))
+
+
+def enriched_columns(e):
     return e.selectExpr(
         "event_id", "unix_micros(timestamp) as ts_us", "array_join(services_observed, ',') as services_observed", "primary_service",
         MAP_TEXT.format("iforest_labels", "e.value", "iforest_labels"),

@@ -155,3 +155,7 @@ ORACLES = {
         r as (select *, row_number() over (partition by service_name, kind order by anomaly_score desc, event_id) as rk from k where kind is not null)
         select service_name, kind, event_id, {r4('anomaly_score', 'anomaly_score')}, cast(rk as integer) as rank from r where rk <= 5""",
 }
+
+# The streams must give what the batch forms give.
+ORACLES["streamed_signals"] = ORACLES["detector_signals"]
+ORACLES["streamed_enriched"] = ORACLES["enriched_events"]
