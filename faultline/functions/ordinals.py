@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-SLICES = 128
+from faultline.functions.scalars import count_at_most
+
+SLICES = 64
 BLOCK = 100_000
 
 
@@ -47,17 +49,14 @@ def with_ordinal(
     # Cut points that repeat mark instants holding more than one slice of rows:
     # those instants are split again by the leading hex digits of the tie key.
     keyed = (
-        df.withColumn("_at", at.cast("double"))
-        .withColumn("_tie", tie_key(event_id))
-        .withColumn("_id", event_id)
-        .withColumn("_cuts", cuts)
-        .withColumn("_slice", F.size(F.filter("_cuts", lambda c: c <= F.col("_at"))))
+        df.withColumns({"_at": at.cast("double"), "_tie": tie_key(event_id), "_id": event_id, "_cuts": cuts})
+        .withColumn("_slice", F.expr(count_at_most("_cuts", "_at", most=slices)))
         .withColumn(
             "_sub",
-            F.when(
-                F.size(F.filter("_cuts", lambda c: c == F.col("_at"))) > 1,
-                F.substring("_tie", 1, 2),
-            ).otherwise(F.lit("zz")),
+            F.expr(
+                "case when _slice >= 2 and get(_cuts, _slice - 1) = _at and get(_cuts, _slice - 2) = _at "
+                "then substring(_tie, 1, 2) else 'zz' end"
+            ),
         )
         .drop("_cuts")
     )

@@ -54,68 +54,55 @@ def long_quantiles(
         F.count("value").alias("_n"),
         F.percentile_approx("value", F.array(*[F.lit(e) for e in edges]), accuracy).alias("_b"),
     )
-    targets = []
+    lows, highs = [], []
     for i, name in enumerate(names):
-        pos = (F.col("_n") - 1) * F.lit(float(probs[name]))
-        if mode == "nearest":
-            low = high = F.floor(pos + 0.5)
-            weight = F.lit(0.0)
-        else:
-            low = F.floor(pos)
-            high = F.least(low + 1, F.col("_n") - 1)
-            weight = pos - low
-        # Wide edges keep the extreme quantiles safe against sketch rounding.
         tiny = F.col("_n") < SMALL
-        lo = F.lit(float("-inf")) if probs[name] - margin <= 0 else F.when(tiny, F.lit(float("-inf"))).otherwise(F.col("_b")[2 * i])
-        hi = F.lit(float("inf")) if probs[name] + margin >= 1 else F.when(tiny, F.lit(float("inf"))).otherwise(F.col("_b")[2 * i + 1])
-        targets.append(
-            F.struct(
-                F.lit(name).alias("name"),
-                lo.alias("lo"),
-                hi.alias("hi"),
-                low.cast("long").alias("low"),
-                high.cast("long").alias("high"),
-                weight.cast("double").alias("weight"),
-            )
-        )
+        at_start, at_end = probs[name] - margin <= 0, probs[name] + margin >= 1
+        bottom, top = F.lit(float("-inf")), F.lit(float("inf"))
+        lows.append(bottom if at_start else F.when(tiny, bottom).otherwise(F.col("_b")[2 * i]))
+        highs.append(top if at_end else F.when(tiny, top).otherwise(F.col("_b")[2 * i + 1]))
     plan = sketch.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.array(*targets).alias("_t")
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+        F.struct(F.array(*lows).alias("lo"), F.array(*highs).alias("hi")).alias("_t"),
     )
-
     if keys:
         cond = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
         hit = data.join(plan, cond, "inner").select(*keys, "value", "_t")
     else:
         hit = data.withColumn("_t", plan.select("_t").scalar())
-    near = (
-        hit.select(*keys, "value", F.explode("_t").alias("_t"))
-        .where(F.col("value") <= F.col("_t.hi"))
-        .groupBy(
-            *keys,
-            "_t",
-            F.when(F.col("value") >= F.col("_t.lo"), F.col("value")).alias("_v"),
-        )
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    order = W.partitionBy(*keys, "_t.name").orderBy(F.col("_v").asc_nulls_first())
-    ranked = near.withColumn("_end", F.sum("_c").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    ranked = ranked.withColumn("_start", F.col("_end") - F.col("_c"))
-
-    def holds(rank: str):
-        inside = (F.col(f"_t.{rank}") >= F.col("_start")) & (F.col(f"_t.{rank}") < F.col("_end"))
-        return F.max(F.when(inside & F.col("_v").isNotNull(), F.col("_v")))
 
-    picked = ranked.groupBy(*keys, F.col("_t.name").alias("_name")).agg(
-        holds("low").alias("_lo"), holds("high").alias("_hi"), F.max("_t.weight").alias("_w")
+    # A value inside some bracket keeps its own row; the values between two
+    # brackets share one row, placed by its smallest value.
+    span = range(len(names))
+    inside = " or ".join(f"(value >= _t.lo[{i}] and value <= _t.hi[{i}])" for i in span)
+    band = " + ".join(f"cast(value >= _t.lo[{i}] as int)" for i in span)
+    counts = (
+        hit.groupBy(*keys, F.expr(f"case when {inside} then value end").alias("_v"), F.expr(f"case when {inside} then -1 else {band} end").alias("_band"))
+        .agg(F.count(F.lit(1)).alias("_c"), F.min("value").alias("_o"))
     )
-    value = F.when(
-        F.col("_lo").isNull() | F.col("_hi").isNull(),
-        F.raise_error(F.lit("quantile rank outside its bracket; raise margin")).cast("double"),
-    ).otherwise(F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_w"))
-    return (
-        picked.withColumn("_q", value)
-        .groupBy(*keys)
-        .agg(*[F.max(F.when(F.col("_name") == n, F.col("_q"))).alias(n) for n in names])
+    over = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(1))
+    ranked = counts.withColumns(
+        {
+            "_end": F.sum("_c").over(over.orderBy("_o").rowsBetween(W.unboundedPreceding, 0)),
+            "_tot": F.sum("_c").over(over),
+        }
+    )
+    aggs = []
+    for i, name in enumerate(names):
+        pos = f"(_tot - 1) * {float(probs[name])!r}D"
+        low = f"floor({pos} + 0.5D)" if mode == "nearest" else f"floor({pos})"
+        high = low if mode == "nearest" else f"least(floor({pos}) + 1, _tot - 1)"
+        for tag, rank in (("lo", low), ("hi", high)):
+            aggs.append(F.expr(f"max(case when _end > {rank} and _end - _c <= {rank} then _v end)").alias(f"_{tag}{i}"))
+        aggs.append(F.expr("0D" if mode == "nearest" else f"max({pos} - floor({pos}))").alias(f"_w{i}"))
+    picked = ranked.groupBy(*keys).agg(*aggs)
+    miss = "cast(raise_error('quantile rank outside its bracket; raise margin') as double)"
+    return picked.select(
+        *keys,
+        *[
+            F.expr(f"case when _lo{i} is null or _hi{i} is null then {miss} else _lo{i} + (_hi{i} - _lo{i}) * _w{i} end").alias(n)
+            for i, n in enumerate(names)
+        ],
     )
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from faultline import constants as C
 from faultline.functions.quantiles import column_quantiles, long_quantiles, unpivot
-from faultline.functions.scalars import lookup
+from faultline.functions.scalars import count_at_most, lookup
 from faultline.operators.profiling import in_arrival_order
 
 # Default sweep grid and operating criteria.
@@ -47,9 +47,15 @@ def time_position(df: DataFrame) -> DataFrame:
     )
 
 
-def burst_proxy(df: DataFrame, *, q: float = 0.97, fields: Sequence[str] = BURST_FIELDS) -> DataFrame:
-    """Flag rows at or above their service's nearest-rank quantile in two or more metrics."""
-    limits = column_quantiles(df, ["service_name"], fields, {"lim": q}, mode="nearest")
+def burst_proxy(
+    df: DataFrame, *, q: float = 0.97, fields: Sequence[str] = BURST_FIELDS, source: DataFrame | None = None
+) -> DataFrame:
+    """Flag rows at or above their service's nearest-rank quantile in two or more metrics.
+
+    ``source`` may give the same rows before costly derived columns; the limits
+    are then read from it.
+    """
+    limits = column_quantiles(df if source is None else source, ["service_name"], fields, {"lim": q}, mode="nearest")
     limits = limits.withColumnRenamed("service_name", "_svc")
     hits = " + ".join(f"cast({f} >= {f}_lim as int)" for f in fields)
     return df.join(limits, F.expr("service_name <=> _svc"), "left").select(
@@ -58,13 +64,17 @@ def burst_proxy(df: DataFrame, *, q: float = 0.97, fields: Sequence[str] = BURST
 
 
 def analysis_columns(df: DataFrame) -> DataFrame:
-    return burst_proxy(time_position(df))
+    return burst_proxy(time_position(df), source=df)
 
 
 def score_quantiles(
-    hist: DataFrame, keys: Sequence[str], specs: Mapping[str, tuple[float, str]], *, value: str = "anomaly_score"
+    hist: DataFrame, keys: Sequence[str], specs: Mapping[str, tuple[float, str]], *, value: str = "anomaly_score",
+    extra: Sequence[Column] = (),
 ) -> DataFrame:
-    """Exact quantiles from counts per (keys, score); a column per spec (probability, mode)."""
+    """Exact quantiles from counts per (keys, score); a column per spec (probability, mode).
+
+    ``extra`` aggregates over the same counts join the result in one pass.
+    """
     part = ", ".join([f"`{k}`" for k in keys]) or "1"
     ranked = hist.where(F.col(value).isNotNull()).withColumns(
         {
@@ -72,7 +82,7 @@ def score_quantiles(
             "_tot": F.expr(f"sum(n) over (partition by {part})"),
         }
     )
-    aggs = []
+    aggs = list(extra)
     for name, (p, mode) in specs.items():
         pos = f"(_tot - 1) * {float(p)!r}D"
         low = f"floor({pos} + 0.5)" if mode == "nearest" else f"floor({pos})"
@@ -90,15 +100,12 @@ def score_histogram(df: DataFrame, keys: Sequence[str] = (), *, value: str = "an
 def score_summary(df: DataFrame, *, value: str = "anomaly_score") -> DataFrame:
     """min, mean, population std, p05, p50, p95, max of the score."""
     hist = score_histogram(df, value=value)
-    q = score_quantiles(hist, [], {n: (p, "linear") for n, p in (("p05", 0.05), ("p50", 0.5), ("p95", 0.95))}, value=value)
-    m = hist.agg(
+    specs = {n: (p, "linear") for n, p in (("p05", 0.05), ("p50", 0.5), ("p95", 0.95))}
+    both = score_quantiles(hist, [], specs, value=value, extra=[
         F.expr(f"min({value})").alias("min"), F.expr(f"max({value})").alias("max"),
         F.expr(f"sum({value} * n) / sum(n)").alias("mean"), F.expr(f"sum({value} * {value} * n) / sum(n)").alias("m2"),
-    )
-    both = m.withColumn("_q", q.select(F.struct("p05", "p50", "p95")).scalar())
-    return both.selectExpr(
-        "min", "mean", "sqrt(greatest(m2 - mean * mean, 0D)) as std", "_q.p05 as p05", "_q.p50 as p50", "_q.p95 as p95", "max"
-    )
+    ])
+    return both.selectExpr("min", "mean", "sqrt(greatest(m2 - mean * mean, 0D)) as std", "p05", "p50", "p95", "max")
 
 
 # The slices a report breaks the scores down by.
@@ -136,13 +143,11 @@ def slice_summaries(flagged: DataFrame, slices: Sequence[Sequence[str]] = SLICES
         .agg(F.sum("n").alias("n"), F.sum("hit").alias("hit"), F.sum("known").alias("known"))
     )
     group = ["slice", *keys]
-    q = score_quantiles(hist, group, {"anomaly_score_p50": (0.5, "linear"), "anomaly_score_p95": (0.95, "nearest")})
-    m = hist.groupBy(*group).agg(
+    specs = {"anomaly_score_p50": (0.5, "linear"), "anomaly_score_p95": (0.95, "nearest")}
+    return score_quantiles(hist, group, specs, extra=[
         F.sum("n").alias("row_count"), F.expr("sum(anomaly_score * n) / sum(n)").alias("anomaly_score_mean"),
         F.expr("sum(hit) / nullif(sum(known), 0)").alias("flag_rate"),
-    )
-    qr = q.select(*[F.col(k).alias(f"_{k}") for k in group], "anomaly_score_p50", "anomaly_score_p95")
-    return m.join(qr, F.expr(" and ".join(f"{k} <=> _{k}" for k in group))).drop(*[f"_{k}" for k in group])
+    ])
 
 
 def flag_metrics(flagged: DataFrame) -> DataFrame:
@@ -225,12 +230,16 @@ def threshold_grid(
 
 
 def threshold_sweep(df: DataFrame, grid: DataFrame | None = None) -> DataFrame:
-    """Flag metrics for every threshold of the grid in one pass over the scores."""
+    """Flag metrics for every threshold of the grid in one pass over the scores.
+
+    Without ``grid`` the default one is taken from ``df``; give it when the
+    scores can be read more cheaply than ``df`` itself.
+    """
     grid = threshold_grid(df) if grid is None else grid
     cuts = grid.agg(F.expr("array_sort(collect_list(threshold))").alias("g")).scalar()
     view = df.select("service_name", "scenario_tag", "burst_proxy", "drift_slice", "anomaly_score").withColumn("_g", cuts)
     counts = (
-        view.withColumn("bucket", F.expr("size(filter(_g, t -> t <= anomaly_score))"))
+        view.withColumn("bucket", F.expr(count_at_most("_g", "anomaly_score", most=1 << 10)))
         .groupBy("service_name", "bucket")
         .agg(
             F.count(F.lit(1)).alias("all"), F.expr("count_if(scenario_tag = 'normal')").alias("normal"),
@@ -389,18 +398,22 @@ def decision_slices(signals: DataFrame) -> DataFrame:
     """Per (service, scenario): count, candidate and flag %, mean score, margin mean/p50/p95."""
     v = signals.withColumn("margin", F.expr("round(anomaly_score - service_threshold, 6)"))
     keys = ["service_name", "scenario_tag"]
-    m = v.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("row_count"), F.expr("100 * avg(cast(candidate_flag as int))").alias("candidate_rate_pct"),
-        F.expr("100 * avg(cast(anomaly_flag as int))").alias("flag_rate_pct"), F.avg("anomaly_score").alias("avg_score"),
-        F.avg("margin").alias("avg_margin"),
-        F.expr("count_if(scenario_tag = 'anomalous' and not anomaly_flag)").alias("false_negatives"),
-        F.expr("count_if(scenario_tag = 'normal' and anomaly_flag)").alias("false_positives"),
-        F.expr("count_if(scenario_tag = 'anomalous' and not candidate_flag)").alias("candidate_misses"),
+    hist = v.groupBy(*keys, "margin").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("candidate_flag").alias("cand"), F.count_if("anomaly_flag").alias("flag"),
+        F.sum("anomaly_score").alias("score"),
+    )
+    specs = {"p50_margin": (0.5, "linear"), "p95_margin": (0.95, "linear")}
+    q = score_quantiles(hist, keys, specs, value="margin", extra=[
+        F.sum("n").alias("row_count"), F.expr("100 * sum(cand) / sum(n)").alias("candidate_rate_pct"),
+        F.expr("100 * sum(flag) / sum(n)").alias("flag_rate_pct"), F.expr("sum(score) / sum(n)").alias("avg_score"),
+        F.expr("sum(margin * n) / sum(n)").alias("avg_margin"), F.sum("cand").alias("_c"), F.sum("flag").alias("_f"),
+    ])
+    return q.selectExpr(
+        *keys, "row_count", "candidate_rate_pct", "flag_rate_pct", "avg_score", "avg_margin", "p50_margin", "p95_margin",
+        "case when scenario_tag = 'anomalous' then row_count - _f else 0 end as false_negatives",
+        "case when scenario_tag = 'normal' then _f else 0 end as false_positives",
+        "case when scenario_tag = 'anomalous' then row_count - _c else 0 end as candidate_misses",
     )
-    q = score_quantiles(score_histogram(v, keys, value="margin"), keys,
-                        {"p50_margin": (0.5, "linear"), "p95_margin": (0.95, "linear")}, value="margin")
-    q = q.withColumnsRenamed({"service_name": "_s", "scenario_tag": "_t"})
-    return m.join(q, F.expr("service_name <=> _s and scenario_tag <=> _t")).drop("_s", "_t")
 
 
 def decision_features(signals: DataFrame, features: Sequence[str] = C.MODEL_FEATURES) -> DataFrame:

@@ -65,10 +65,12 @@ def burst_runs(
     block edge are then stitched across blocks.
     """
     limits = column_quantiles(df, ["service_name"], fields, {"p95": 0.95})
-    j = df.join(limits.withColumnRenamed("service_name", "_svc"), F.col("service_name") == F.col("_svc"))
     hits = " + ".join(f"cast({f} >= {f}_p95 as int)" for f in fields)
-    flagged = j.selectExpr("service_name", "generated_at", "event_id", f"({hits}) >= {min_hits} as burst")
-    rows = in_arrival_order(flagged).withColumn("blk", F.expr(f"ordinal div {block}"))
+    # Rank before the join: the ranking reads its input more than once.
+    ordered = in_arrival_order(df.select("service_name", "generated_at", "event_id", *fields))
+    rows = ordered.join(limits.withColumnRenamed("service_name", "_svc"), F.expr("service_name <=> _svc")).selectExpr(
+        "service_name", "ordinal", f"ordinal div {block} as blk", f"({hits}) >= {min_hits} as burst"
+    )
     totals = rows.groupBy("service_name").agg(
         F.count(F.lit(1)).alias("samples"), F.count_if("burst").alias("burst_samples")
     )

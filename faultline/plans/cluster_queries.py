@@ -9,6 +9,7 @@ from faultline import fixtures as X
 from faultline.operators import density as DE
 from faultline.operators import features as FT
 from faultline.operators import propagation as PR
+from faultline.operators import stability as ST
 from faultline.operators import windows as W
 from faultline.plans.scoring_queries import rounded
 from faultline.session import cut
@@ -106,6 +107,24 @@ def validate_propagation(spark, d):
     return rounded(v2.unionByName(v1))
 
 
+def bootstrap_stability(spark, d):
+    """Leave-one-out stability of the leading window features."""
+    w = W.quality_split(windows_of(spark, d)).where("eligible")
+    cols = ["latency_p95_payments", "latency_p95_orders", "error_rate_checkout", "redis_latency"]
+    rows = cut(FT.level_features(w).select("window_index", "scenario_tag", *cols))
+    return rounded(ST.bootstrap_stability(rows, cols, eps=0.25, min_samples=3, id_col="window_index", iterations=6))
+
+
+def parameter_sweep(spark, d):
+    w, f = _rows(spark, d)
+    f = cut(FT.topology_features(f).select("window_id", "iforest_score_mean", "detected_origin_service",
+                                           *[f"topological_distance_{n}" for n in C.TOPOLOGY_NODES], *C.FEATURES_V1[3:11]))
+    w = cut(w)
+    cols = list(C.FEATURES_V1[3:11])
+    m = DE.min_max(DE.training_matrix(w, f, keys=cols), cols)
+    return rounded(ST.parameter_sweep(m, cols, f, w, eps_values=(0.3, 0.45, 0.6), min_samples=3))
+
+
 def partition_summary(spark, d):
     w = windows_of(spark, d).withColumn("part", F.expr("case when window_index < 80 then 'training' else 'validation' end"))
     return PR.partition_summary(w, partition="part", seed="window_index")
@@ -115,6 +134,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         training_matrix, min_max_matrix, density_clusters, cluster_purity, cluster_summary, post_filter,
-        propagation_signatures, eligibility_report, order_match, validate_propagation, partition_summary,
+        bootstrap_stability, parameter_sweep, propagation_signatures, eligibility_report, order_match, validate_propagation, partition_summary,
     )
 }

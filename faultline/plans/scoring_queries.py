@@ -122,7 +122,7 @@ def threshold_grid(spark, d):
 
 
 def _sweep(spark, d):
-    return EV.threshold_sweep(analysed(spark, d))
+    return EV.threshold_sweep(analysed(spark, d), EV.threshold_grid(wide(spark, d)))
 
 
 def threshold_sweep(spark, d):

@@ -14,6 +14,7 @@ from faultline.operators import propagation as PR
 from faultline.operators import topology as T
 from faultline.plans.scoring_queries import rounded
 from faultline.plans.telemetry_queries import r4, windows_of
+from faultline.session import cut
 
 MAP_TEXT = "array_join(array_sort(transform(map_entries({0}), e -> concat(e.key, '=', cast({1} as string)))), ',') as {2}"
 
@@ -40,8 +41,9 @@ def assignments(spark, d):
 
 
 def enriched(spark, d):
-    profiles = PR.scenario_profiles(assignments(spark, d))
-    return CO.enrich(CO.snapshots(signals(spark, d)), profiles)
+    # Signals are a written dataset in the live path; fix them once here too.
+    log = cut(signals(spark, d).select("source_node", *CO.SNAP_FIELDS))
+    return CO.enrich(CO.snapshots(log), PR.scenario_profiles(assignments(spark, d)))
 
 
 def incident_rows(spark, d):

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from faultline.session import prepare
 
 
-def read_topic_files(spark: SparkSession, path: str, *, per_trigger: int | None = None) -> DataFrame:
+def read_topic_files(spark: SparkSession, path: str, *, per_trigger: int | None = 100) -> DataFrame:
     """A topic kept as files of JSON envelopes, one per line.
 
     The query's checkpoint holds the position, so a restart continues where the
@@ -24,7 +24,7 @@ def read_topic_files(spark: SparkSession, path: str, *, per_trigger: int | None
 
 
 def read_topic_kafka(
-    spark: SparkSession, servers: str, topic: str, *, start: str = "latest", per_trigger: int | None = None
+    spark: SparkSession, servers: str, topic: str, *, start: str = "latest", per_trigger: int | None = 1_000_000
 ) -> DataFrame:
     """A Kafka topic as ``value`` strings; ``start`` is ``earliest`` or ``latest``.
 
