@@ -43,7 +43,12 @@ def _metric() -> Column:
 
 def long_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long telemetry events from the ``events`` table."""
-    ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
+    return long_from(table(spark, sf_dir, "events"))
+
+
+def long_from(raw: DataFrame) -> DataFrame:
+    """The same projection over any (also streaming) event frame."""
+    ev = raw.select("event_id", "ts", "user_id", "event_type", "value", "props")
     base = lookup(
         F.concat_ws("|", "service_name", "metric_name"),
         {f"{s}|{m}": v for (s, m), v in C.BASELINE.items()},

@@ -27,8 +27,14 @@ def literal_array(values: Iterable) -> Column:
 
 def lookup(key: Column, table: Mapping) -> Column:
     """Small fixed lookup as a literal map; null for unknown keys."""
-    flat = [F.lit(x) for kv in table.items() for x in kv]
-    return F.try_element_at(F.create_map(*flat), key)
+
+    def text(v) -> str:
+        if isinstance(v, bool):
+            return str(v).lower()
+        return f"{v!r}D" if isinstance(v, float) else repr(v)
+
+    pairs = ", ".join(f"{text(k)}, {text(v)}" for k, v in table.items())
+    return F.try_element_at(F.expr(f"map({pairs})"), key)
 
 
 def compact(*items: Column) -> Column:

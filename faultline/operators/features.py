@@ -242,15 +242,14 @@ def topology_features(df: DataFrame, *, edges=C.TOPOLOGY_EDGES, criticality=C.TO
     stress[C.CACHE_SERVICE] = r6(1.0 - F.col("cache_health_score"))
     flat = [v for k, col in stress.items() for v in (F.lit(k), col)]
     out = out.withColumn("_stress", F.create_map(*flat)).withColumn("_ups", up.scalar())
+    cols = {}
     for x in nodes:
-        ups = F.try_element_at(F.col("_ups"), F.lit(x))
-        summed = F.aggregate(ups, F.lit(0.0), lambda a, u: a + F.coalesce(F.try_element_at(F.col("_stress"), u), F.lit(0.0)))
-        out = (
-            out.withColumn(f"service_criticality_{x}", F.lit(float(criticality[x])))
-            .withColumn(f"topological_distance_{x}", F.coalesce(f"raw_distance_{x}", F.lit(0.0)))
-            .withColumn(f"upstream_health_{x}", F.coalesce(r6(F.try_divide(summed, F.size(ups))), F.lit(0.0)))
-        )
-    return out.drop("_stress", "_ups")
+        ups = f"try_element_at(_ups, '{x}')"
+        summed = f"aggregate({ups}, 0D, (a, u) -> a + coalesce(try_element_at(_stress, u), 0D))"
+        cols[f"service_criticality_{x}"] = F.lit(float(criticality[x]))
+        cols[f"topological_distance_{x}"] = F.coalesce(f"raw_distance_{x}", F.lit(0.0))
+        cols[f"upstream_health_{x}"] = F.expr(f"coalesce(round(try_divide({summed}, size({ups})), 6), 0D)")
+    return out.withColumns(cols).drop("_stress", "_ups")
 
 
 def temporal_memory(df: DataFrame) -> DataFrame:

@@ -225,7 +225,7 @@ def build_windows(
     pairs = window_pairs(pane_metrics(events, policy, span), policy)
     kept_n = F.col("n_strict") + F.col("n_tolerated")
     seen = kept_n > 0
-    svc, met = F.col("service_name"), F.col("metric_name")
+    svc = F.col("service_name")
     aggs = [
         F.sum("n_strict").alias("strict_event_count"),
         F.sum("n_tolerated").alias("late_events_within_tolerance"),
@@ -237,12 +237,12 @@ def build_windows(
         F.max("anchor_us").alias("anchor_us"),
     ]
     for s, m in expected:
-        here = (svc == s) & (met == m) & seen
-        mean = F.try_divide(F.sum(F.when(here, F.col("total"))), F.sum(F.when(here, kept_n)))
-        aggs.append(r6(mean).alias(pair_column(s, m)))
+        here = f"service_name = '{s}' and metric_name = '{m}' and n_strict + n_tolerated > 0"
+        mean = f"try_divide(sum(case when {here} then total end), sum(case when {here} then n_strict + n_tolerated end))"
+        aggs.append(F.expr(f"round({mean}, 6)").alias(pair_column(s, m)))
     for s in C.ALL_SERVICES:
         for v in ("v1", "v2"):
-            aggs.append(F.min(F.when(svc == s, F.col(f"cross_{v}"))).alias(f"activation_{v}_{C.SHORT_NAME[s]}"))
+            aggs.append(F.expr(f"min(case when service_name = '{s}' then cross_{v} end)").alias(f"activation_{v}_{C.SHORT_NAME[s]}"))
     wide = pairs.groupBy("window_index").agg(*aggs)
 
     breaks = (
@@ -257,37 +257,27 @@ def build_windows(
 def grade_windows(df: DataFrame, policy: WindowingPolicy, *, n_expected: int) -> DataFrame:
     """Ratios, quality score and training acceptance from the window counts."""
     c = F.col
-    total = c("strict_event_count") + c("late_events_within_tolerance")
-    out = (
-        df.withColumn("total_event_count", total)
-        .where(total > 0)
-        .withColumn(
-            "ordering_violation_services",
-            F.coalesce("ordering_violation_services", F.array().cast("array<string>")),
-        )
-        .withColumn("ordering_broken", F.size("ordering_violation_services") > 0)
-        .withColumn("_cov", c("covered_pairs") / F.lit(float(max(n_expected, 1))))
-        .withColumn(
-            "_min_ev",
-            F.least(c("strict_event_count") / F.lit(float(max(policy.min_events, 1))), F.lit(1.0)),
-        )
-        .withColumn("_late", c("late_events_within_tolerance") / total)
-        .withColumn("_disc", c("late_discarded_count") / (total + c("late_discarded_count")))
-        .withColumn("degraded_quality", c("_disc") > policy.late_discard_ratio)
+    total = "(strict_event_count + late_events_within_tolerance)"
+    out = df.where(f"{total} > 0").selectExpr(
+        *[f"`{x}`" for x in df.columns if x != "ordering_violation_services"],
+        "coalesce(ordering_violation_services, cast(array() as array<string>)) as ordering_violation_services",
+        "coalesce(size(ordering_violation_services), 0) > 0 as ordering_broken",
+        f"{total} as total_event_count",
+        f"covered_pairs / {float(max(n_expected, 1))}D as _cov",
+        f"least(strict_event_count / {float(max(policy.min_events, 1))}D, 1D) as _min_ev",
+        f"late_events_within_tolerance / {total} as _late",
+        f"late_discarded_count / ({total} + late_discarded_count) as _disc",
     )
-    base = r6(
-        clamp(c("_cov") * 0.55 + c("_min_ev") * 0.20 + (1 - c("_late")) * 0.10 + (1 - c("_disc")) * 0.15)
+    out = out.withColumn("degraded_quality", F.expr(f"_disc > {policy.late_discard_ratio}D"))
+    # Weights of the score, and what degraded or misordered windows lose.
+    out = out.withColumn(
+        "_q", F.expr("round(least(greatest(_cov * 0.55D + _min_ev * 0.20D + (1 - _late) * 0.10D + (1 - _disc) * 0.15D, 0D), 1D), 6)")
     )
-    out = out.withColumn("_q", base)
     for flag, penalty in (("degraded_quality", 0.10), ("ordering_broken", 0.20)):
-        lowered = r6(F.greatest(c("_q") - penalty, F.lit(0.0)))
-        out = out.withColumn("_q", F.when(c(flag), lowered).otherwise(c("_q")))
+        out = out.withColumn("_q", F.expr(f"case when {flag} then round(greatest(_q - {penalty}D, 0D), 6) else _q end"))
     missing = 1 - c("_cov")
-    accepted = (
-        (missing <= policy.max_missing_ratio)
-        & (c("strict_event_count") >= policy.min_events)
-        & (c("_q") >= policy.min_quality)
-        & ~c("ordering_broken")
+    accepted = F.expr(
+        f"1 - _cov <= {policy.max_missing_ratio}D and strict_event_count >= {policy.min_events} and _q >= {policy.min_quality}D and not ordering_broken"
     )
     start = c("anchor_us") + c("window_index") * policy.stride
     return out.select(

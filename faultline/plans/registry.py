@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("telemetry_queries", "scoring_queries", "signal_queries", "cluster_queries", "model_queries", "stream_queries")
+_MODULES = ("telemetry_queries", "scoring_queries", "signal_queries", "cluster_queries", "model_queries", "stream_queries", "file_queries")
 
 
 def all_queries():

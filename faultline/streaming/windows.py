@@ -11,18 +11,23 @@ from faultline import constants as C
 from faultline.functions.scalars import r6
 from faultline.operators.windows import WindowingPolicy, grade_windows, pair_column
 
+_EPOCH = dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)
+
 
 def stream_windows(
-    events: DataFrame, policy: WindowingPolicy, *, anchor: dt.datetime, delay: str | None = None, deduplicate: bool = True
+    events: DataFrame, policy: WindowingPolicy, *, anchor: dt.datetime | int, delay: str | None = None, deduplicate: bool = True
 ) -> DataFrame:
     """Graded windows in append mode; a window is emitted once nothing can reach it any more.
 
-    ``anchor`` takes the place of the first event, which a stream cannot know.
+    ``anchor`` (a time, or microseconds since 1970) takes the place of the first
+    event, which a stream cannot know.
     Windows reach past their end by the larger of stride and tolerance, so late
     classes fall out of the offset inside the window.  Sequence order needs the
     batch form: streaming aggregation has no ordered input.
     """
-    anchor_us = int(anchor.replace(tzinfo=anchor.tzinfo or dt.timezone.utc).timestamp() * 1_000_000)
+    if isinstance(anchor, dt.datetime):
+        anchor = round((anchor.replace(tzinfo=anchor.tzinfo or dt.timezone.utc) - _EPOCH) / dt.timedelta(microseconds=1))
+    anchor_us = int(anchor)
     late = events.withWatermark("ts", delay or f"{policy.tolerance_s} seconds")
     if deduplicate:
         late = late.dropDuplicatesWithinWatermark(["event_id"])

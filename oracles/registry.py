@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("telemetry", "scoring", "signals", "clusters")
+_MODULES = ("telemetry", "scoring", "signals", "clusters", "files")
 
 
 def all_oracles() -> dict[str, str]:
