@@ -128,7 +128,8 @@ def wide_from(li: DataFrame) -> DataFrame:
             F.date_format("l_shipdate", "yyyyMMdd"),
         )
     )
-    score = F.round(0.35 + 0.004 * q + 0.000001 * price + 0.5 * disc, 6)
+    # Whole prices keep the sum at six decimals, so rounding has no ties.
+    score = F.round(0.35 + 0.004 * q + 0.000001 * F.floor(price) + 0.5 * disc, 6)
     return li.select(
         event_id.alias("event_id"),
         F.col("l_shipdate").cast("timestamp").alias("generated_at"),

@@ -247,6 +247,6 @@ fx_wide as (
     least(100.0, 2 * l_quantity) as cpu_pct, 40 + 500 * l_tax as memory_pct, l_extendedprice / 200 as latency_ms,
     least(100.0, 1000 * l_discount) as disk_io_pct, l_discount * l_quantity as net_error_rate,
     l_quantity * (1 + 10 * l_tax) as queue_length, 1000 / (1 + l_quantity) as throughput_rate,
-    round(cast(0.35 + 0.004 * l_quantity + 0.000001 * l_extendedprice + 0.5 * l_discount as decimal(18, 9)), 6)::double as anomaly_score,
+    round(0.35 + 0.004 * l_quantity + 0.000001 * floor(l_extendedprice) + 0.5 * l_discount, 6) as anomaly_score,
     -anomaly_score as raw_score
   from lineitem)"""
