@@ -15,10 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-ACCURACY = 10_000
-MARGIN = 0.002
+ACCURACY = 50_000
+MARGIN = 0.0002
 # Below this many values a bracket could miss a neighbouring rank, so all are kept.
-SMALL = 5_000
+SMALL = 20_000
 
 
 def unpivot(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:

@@ -115,7 +115,7 @@ LAGS = {"payments-api_to_redis": "lag_payments_to_redis", "redis_to_checkout-api
 def cluster_evidence(assignments: DataFrame, resolved: DataFrame) -> DataFrame:
     """One row per cluster (noise included): size, lag p10/p50/p90, metric ranges.
 
-    The reference work repeats this per window; here it is grouped once.
+    Grouped once per cluster, not once per window.
     """
     cols = [*LAGS.values(), *RANGE_KEYS]
     f = resolved.select(F.col("window_id").alias("_w"), *cols)
