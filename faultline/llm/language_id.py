@@ -21,7 +21,7 @@ _LETTER[0x41:0x5B] = np.arange(0x61, 0x7B)
 _LETTER[0x61:0x7B] = np.arange(0x61, 0x7B)
 _LETTER[0x80:] = np.arange(0x80, 0x100)
 UNKNOWN = "und"
-REJECT_SHARE = 0.001
+REJECT_SHARE = 0.0005
 
 
 def subword_counts(texts: pa.Array):
@@ -63,61 +63,80 @@ class LanguageModel:
         return [self.languages[i] if ok else UNKNOWN for i, ok in zip(lang, letters)], np.where(letters, score, 0.0)
 
     def probabilities(self, counts: np.ndarray) -> np.ndarray:
-        z = logits(counts, self.table, self.bias) / self.temperature
-        z = np.exp(z - z.max(axis=1, keepdims=True))
-        return z / z.sum(axis=1, keepdims=True)
+        total = np.maximum(counts.sum(axis=1, keepdims=True), 1)
+        return softmax(logits(counts / total.astype(np.float32), self.table, self.bias) / self.temperature)
 
 
-def logits(counts: np.ndarray, table: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    return counts.astype(np.float32) @ table / np.maximum(counts.sum(axis=1, keepdims=True), 1) + bias
+def softmax(z: np.ndarray) -> np.ndarray:
+    z = np.exp(z - z.max(axis=1, keepdims=True))
+    return z / z.sum(axis=1, keepdims=True)
 
 
-def fit(counts: np.ndarray, labels: np.ndarray, languages: list[str], *, epochs: int = 40, batch: int = 64, rate: float = 3.0, seed: int = 7) -> LanguageModel:
-    """Stochastic gradient descent on embedding and softmax; every fifth row calibrates temperature and rejection."""
+def logits(shares: np.ndarray, table: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    return shares.astype(np.float32) @ table + bias
+
+
+Row = tuple[np.ndarray, np.ndarray]  # buckets and counts of one text
+
+
+def dense(rows: list[Row]) -> np.ndarray:
+    """Bucket shares of a few rows, each summing to one."""
+    x = np.zeros((len(rows), BUCKETS), np.float32)
+    for i, (at, n) in enumerate(rows):
+        x[i, at] = n / max(1, n.sum(dtype=np.int64))
+    return x
+
+
+def fit(rows: list[Row], labels: np.ndarray, languages: list[str], *, epochs: int = 40, batch: int = 64, rate: float = 3.0, seed: int = 7) -> LanguageModel:
+    """Stochastic gradient descent on embedding and softmax; every fifth row calibrates temperature and rejection.
+
+    A row's step is divided by its squared length where that exceeds one, so short
+    texts, whose few subwords weigh much, cannot throw the fit off.  Rows stay
+    sparse; one batch at a time is spread out.
+    """
     rng = np.random.default_rng(seed)
     n, k = len(labels), len(languages)
     order = rng.permutation(n)
     held = order[::5] if n >= 50 else order[:0]
     train = np.setdiff1d(order, held)
-    x = counts.astype(np.float32)
-    x /= np.maximum(x.sum(axis=1, keepdims=True), 1)
-    weight = np.array([len(train) / (k * max(1, (labels[train] == c).sum())) for c in range(k)], np.float32)
-    # Averages over many subwords are small numbers, so their scale is set once by the spread of the data.
-    scale = 1 / max(float(x[train].std(axis=0).max()) if len(train) else 1.0, 1e-6)
+    length = np.array([np.sqrt((c.astype(np.float64) ** 2).sum()) / max(1, c.sum(dtype=np.int64)) for _, c in rows])
+    # Averages over many subwords are small numbers: scaled so that the usual row has length one.
+    scale = 1 / max(float(np.median(length[train])) if len(train) else 1.0, 1e-6)
+    share = np.array([max(1, (labels[train] == c).sum()) for c in range(k)], np.float32) * k / max(1, len(train))
+    damp = (1 / (np.maximum(1, length * scale) ** 2 * share[labels])).astype(np.float32)
     emb = rng.normal(0, 0.05, (BUCKETS, WIDTH)).astype(np.float32)
     out, bias = rng.normal(0, 0.3, (WIDTH, k)).astype(np.float32), np.zeros(k, np.float32)
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
-        for at in range(0, len(train), batch):
-            rows = rng.choice(train, min(batch, len(train)), replace=False) if len(train) > batch else train
-            xb = x[rows] * scale
+        turn = rng.permutation(train)
+        for at in range(0, len(turn), batch):
+            some = turn[at : at + batch]
+            xb = dense([rows[i] for i in some]) * np.float32(scale)
             hidden = xb @ emb
             z = hidden @ out + bias
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(rows)), labels[rows]] -= 1
-            p *= weight[labels[rows], None] / len(rows)
+            p[np.arange(len(some)), labels[some]] -= 1
+            p *= damp[some, None] / len(some)
             back = p @ out.T
-            out -= step * np.clip(hidden.T @ p, -1, 1)
+            out -= step * (hidden.T @ p)
             bias -= step * p.sum(axis=0)
-            emb -= step * np.clip(xb.T @ back, -1, 1)
+            emb -= step * (xb.T @ back)
     model = LanguageModel(languages, (emb @ out * scale).astype(np.float32), bias, 1.0, 0.0)
     if len(held):
-        z, y = logits(counts[held], model.table, bias), labels[held]
-        best = np.inf
+        z = np.concatenate([logits(dense([rows[i] for i in held[a : a + 256]]), model.table, bias) for a in range(0, len(held), 256)])
+        y, best = labels[held], np.inf
         for t in np.geomspace(0.25, 16, 49):  # the temperature of least log loss
             q = z / t - (z / t).max(axis=1, keepdims=True)
             loss = -(q[np.arange(len(y)), y] - np.log(np.exp(q).sum(axis=1))).mean()
             if loss < best - 1e-9:
                 best, model.temperature = loss, float(t)
-        top = model.probabilities(counts[held])
-        right = top[np.arange(len(y)), y][top.argmax(axis=1) == y]
-        # Rejected is what scores below nearly all right answers, and never what is more likely right than wrong.
-        model.threshold = float(min(0.5, np.quantile(right, REJECT_SHARE))) if len(right) else 0.0
+        # Labelled rows are in a known language: the score rejects REJECT_SHARE of them, and never what is likelier right than wrong.
+        model.threshold = float(min(0.5, np.quantile(softmax(z / model.temperature).max(axis=1), REJECT_SHARE)))
     return model
 
 
-def train(docs: DataFrame, where: Column | None = None, *, rows_per_language: int = 700) -> LanguageModel:
+def train(docs: DataFrame, where: Column | None = None, *, rows_per_language: int = 1000) -> LanguageModel:
     """Fit on labelled rows chosen by a hash of doc_id: about ``rows_per_language`` of each language.
 
     ``where`` limits the rows that may be learned from.  Rows without text or
@@ -152,10 +171,8 @@ def train(docs: DataFrame, where: Column | None = None, *, rows_per_language: in
 
     got = chosen.mapInArrow(counted, "lang string, at binary, n binary, key long").collect()  # bounded by rows_per_language
     got.sort(key=lambda r: (r.key, r.lang, r.at, r.n))  # the order of tasks has no part in the fit
-    x = np.zeros((len(got), BUCKETS), np.int32)
-    for i, r in enumerate(got):
-        x[i, np.frombuffer(r.at, "<u2")] = np.frombuffer(r.n, "<u2")
-    return fit(x, np.array([languages.index(r.lang) for r in got], np.int64), languages)
+    labels = np.array([languages.index(r.lang) for r in got], np.int64)
+    return fit([(np.frombuffer(r.at, "<u2"), np.frombuffer(r.n, "<u2")) for r in got], labels, languages)
 
 
 def _model_on_workers(model: LanguageModel):

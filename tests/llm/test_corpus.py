@@ -87,7 +87,7 @@ def test_language_model_rejects_by_calibration():
     x = rng.poisson(0.2, (400, language_id.BUCKETS))
     x[y == 0, :50] += 3
     x[y == 1, 50:100] += 3
-    m = language_id.fit(x, y, ["a", "b"])
+    m = language_id.fit([(np.flatnonzero(r), r[r > 0]) for r in x], y, ["a", "b"])
     p = m.probabilities(x)
     assert (p.argmax(axis=1) == y).mean() > 0.97 and 0 < m.threshold <= 0.5
 
