@@ -8,8 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_PIECES = 800_000
-CHUNK_BYTES = 8 << 20
+CACHE_PIECES = 500_000
+CHUNK_BYTES = 2 << 20
 #: A space before white space or at the end: fixed list of the white space characters of Unicode.
 _UNSAFE = r" (?:[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]|$)"
 _ENCODERS: dict[str, "PieceEncoder"] = {}
