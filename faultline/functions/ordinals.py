@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from faultline.functions.scalars import count_at_most
 
 SLICES = 64
+SLICE_BYTES = 128 << 20
 BLOCK = 100_000
 
 
@@ -26,6 +27,12 @@ def tie_key(event_id: Column) -> Column:
     return F.md5(event_id.cast("string"))
 
 
+def slices_for(df: DataFrame) -> int:
+    """Slices so that one holds about ``SLICE_BYTES`` by the optimizer's size estimate; balance only, ranks do not depend on it."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(max(SLICES, size // SLICE_BYTES), 10_000)
+
+
 def with_ordinal(
     df: DataFrame,
     keys: Sequence[str],
@@ -34,30 +41,36 @@ def with_ordinal(
     *,
     ordinal: str = "ordinal",
     total: str = "ordinal_count",
-    slices: int = SLICES,
+    slices: int | None = None,
 ) -> DataFrame:
     """Zero-based rank per key ordered by (at, md5(id), id), plus the key's row count.
 
-    ``at`` is numeric.  Cut points come from an approximate quantile sketch;
+    ``at`` is numeric and ordered in its own type; only the cut points are
+    doubles, which keeps ids beyond 2^53 apart.  Cut points come from an approximate quantile sketch;
     they steer balance only, any cut points give the same ranks.
     """
     keys = list(keys)
+    slices = slices or slices_for(df)
     probe = df.select(at.cast("double").alias("_at"))
     grid = F.array(*[F.lit(i / slices) for i in range(1, slices)])
-    cuts = probe.agg(F.percentile_approx("_at", grid, 1000).alias("c")).scalar()
+    cuts = probe.agg(F.percentile_approx("_at", grid, max(1000, 4 * slices)).alias("c")).scalar()
 
     # Cut points that repeat mark instants holding more than one slice of rows:
     # those instants are split again by the leading hex digits of the tie key.
     keyed = (
-        df.withColumns({"_at": at.cast("double"), "_tie": tie_key(event_id), "_id": event_id, "_cuts": cuts})
-        .withColumn("_slice", F.expr(count_at_most("_cuts", "_at", most=slices)))
+        df.withColumns({"_native": at, "_at": at.cast("double"), "_tie": tie_key(event_id), "_id": event_id, "_cuts": cuts})
+        .withColumn("_slice", F.expr(count_at_most("_cuts", "_at")))
+        .withColumn("_hot", F.expr("_slice >= 2 and get(_cuts, _slice - 1) = _at and get(_cuts, _slice - 2) = _at"))
+        .withColumn("_point", F.col("_at").cast(df.select(at.alias("a")).schema["a"].dataType))
         .withColumn(
             "_sub",
             F.expr(
-                "case when _slice >= 2 and get(_cuts, _slice - 1) = _at and get(_cuts, _slice - 2) = _at "
-                "then substring(_tie, 1, 2) else 'zz' end"
+                # Values that only a double takes for the hot one stand before or after it.
+                "case when not coalesce(_hot, false) then '9' when _native < _point then '0' when _native > _point then '2' "
+                "else concat('1', substring(_tie, 1, 2)) end"
             ),
         )
+        .drop("_hot", "_point")
         .drop("_cuts")
     )
     group = [*keys, "_slice", "_sub"]
@@ -69,7 +82,7 @@ def with_ordinal(
         .withColumn(total, F.sum("_n").over(over_key))
         .drop("_n")
     )
-    in_slice = W.partitionBy(*group).orderBy("_at", "_tie", "_id")
+    in_slice = W.partitionBy(*group).orderBy("_native", "_tie", "_id")
     ranked = keyed.withColumn("_rn", F.row_number().over(in_slice) - 1)
     renamed = offsets.select(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(group)], "_off", total)
     cond = [F.col(c).eqNullSafe(F.col(f"_o{i}")) for i, c in enumerate(group)]

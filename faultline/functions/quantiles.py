@@ -39,7 +39,7 @@ def long_quantiles(
     """One row per key with a column per named probability.
 
     ``mode`` is ``linear`` (interpolated) or ``nearest`` (value at the rounded
-    rank).  Null values are ignored.
+    rank).  Null values are ignored; NaN ranks above every number.
     """
     if mode not in ("linear", "nearest"):
         raise ValueError(f"unknown quantile mode: {mode}")
@@ -58,7 +58,7 @@ def long_quantiles(
     for i, name in enumerate(names):
         tiny = F.col("_n") < SMALL
         at_start, at_end = probs[name] - margin <= 0, probs[name] + margin >= 1
-        bottom, top = F.lit(float("-inf")), F.lit(float("inf"))
+        bottom, top = F.lit(float("-inf")), F.lit(float("nan"))  # NaN ranks above every number
         lows.append(bottom if at_start else F.when(tiny, bottom).otherwise(F.col("_b")[2 * i]))
         highs.append(top if at_end else F.when(tiny, top).otherwise(F.col("_b")[2 * i + 1]))
     plan = sketch.select(

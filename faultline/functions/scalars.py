@@ -47,15 +47,11 @@ def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
-def count_at_most(cuts: str, value: str, *, most: int) -> str:
-    """SQL: how many elements of a sorted array are at most ``value`` (binary search)."""
-    steps = []
-    step = 1
-    while step <= most:
-        steps.append(step)
-        step *= 2
-    halves = ", ".join(str(s) for s in reversed(steps))
-    return f"aggregate(array({halves}), 0, (p, s) -> case when p + s <= size({cuts}) and get({cuts}, p + s - 1) <= {value} then p + s else p end)"
+def count_at_most(cuts: str, value: str) -> str:
+    """SQL: how many elements of a sorted array of any size are at most ``value`` (binary search)."""
+    steps = f"sequence(cast(floor(log2(greatest(size({cuts}), 1))) as int), 0, -1)"
+    at = "p + shiftleft(1, e)"
+    return f"aggregate({steps}, 0, (p, e) -> case when {at} <= size({cuts}) and get({cuts}, {at} - 1) <= {value} then {at} else p end)"
 
 
 def linear_quantile(sorted_values: Column, q: float) -> Column:

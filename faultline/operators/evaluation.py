@@ -239,7 +239,7 @@ def threshold_sweep(df: DataFrame, grid: DataFrame | None = None) -> DataFrame:
     cuts = grid.agg(F.expr("array_sort(collect_list(threshold))").alias("g")).scalar()
     view = df.select("service_name", "scenario_tag", "burst_proxy", "drift_slice", "anomaly_score").withColumn("_g", cuts)
     counts = (
-        view.withColumn("bucket", F.expr(count_at_most("_g", "anomaly_score", most=1 << 10)))
+        view.withColumn("bucket", F.expr(count_at_most("_g", "anomaly_score")))
         .groupBy("service_name", "bucket")
         .agg(
             F.count(F.lit(1)).alias("all"), F.expr("count_if(scenario_tag = 'normal')").alias("normal"),

@@ -9,7 +9,7 @@ from faultline.operators import evaluation as EV
 from faultline.operators import forest as FO
 from faultline.plans.scoring_queries import rounded
 
-TREES, CONTAMINATION = 100, (0.004, 0.005, 0.006, 0.0075, 0.01, 0.0125, 0.015, 0.02)
+TREES, CONTAMINATION = 300, (0.004, 0.005, 0.006, 0.0075, 0.01, 0.0125, 0.015, 0.02)
 
 
 def model(spark, d):

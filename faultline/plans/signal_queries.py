@@ -128,7 +128,7 @@ def context_slices(spark, d):
     return N.context_slices(enriched(spark, d)).selectExpr(
         "event_id", "array_join(related_services, ',') as related_services",
         "array_join(array_sort(transform(recent_anomalies, a -> a.service_name)), ',') as recent_anomalies",
-        "topology_summary", "case when propagation_detected then '' else propagation_summary end as propagation_summary", "estimated_tokens",
+        "topology_summary", "propagation_summary", "estimated_tokens",
     )
 
 
@@ -142,7 +142,7 @@ def incident_records(spark, d):
         "event_id", "severity", "routing_decision", "anomaly_count", "related_services_count", "diagnosis_summary",
         "suspected_scope", "probable_cause", "evidence_strength", "retrieval_quality", "model_uncertainty", "policy_status",
         r4("confidence_score"), "human_review_required", "confidence_reason", "recommendation_type",
-        F.expr("substring(recommendation_text, 1, 60)").alias("recommendation_head"), "requires_human_approval",
+        "recommendation_text", "requires_human_approval",
     )
 
 
@@ -187,7 +187,7 @@ def audit_trace(spark, d):
 
 
 def notification_intents(spark, d):
-    return N.notification_intents(incident_rows(spark, d)).select("event_id", "severity", "channel", F.expr("substring(message, 1, 60)").alias("message_head"))
+    return N.notification_intents(incident_rows(spark, d)).select("event_id", "severity", "channel", "message")
 
 
 def incident_bundle(spark, d):

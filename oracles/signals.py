@@ -64,6 +64,9 @@ e4 as (select *, coalesce(nullif(cast(floor(abs(sn_checkout.t - tp) / 1e6) as in
 enr as (select *, case when scen like 'S2%' then prim || '_to_redis=' || greatest(10, least(90, cast(floor(queue) as int)))
    when scen like 'S3%' then prim || '_to_redis=20,redis_to_checkout-api=' || g1
    when scen like 'S4%' then 'checkout-api_to_orders-api=' || g2 || ',' || prim || '_to_redis=20,redis_to_checkout-api=' || g1 else '' end as lags,
+  case when scen like 'S2%' then prim || '_to_redis=' || greatest(10, least(90, cast(floor(queue) as int))) || 's'
+   when scen like 'S3%' then prim || '_to_redis=20s, redis_to_checkout-api=' || g1 || 's'
+   when scen like 'S4%' then prim || '_to_redis=20s, redis_to_checkout-api=' || g1 || 's, checkout-api_to_orders-api=' || g2 || 's' else '' end as lagtext,
   array_to_string(list_filter([case when sn_checkout is not null then 'checkout-api=' || case when bc then 'anomalous' else 'normal' end end,
     case when sn_orders is not null then 'orders-api=' || case when bo then 'anomalous' else 'normal' end end,
     case when sn_payments is not null then 'payments-api=' || case when bp then 'anomalous' else 'normal' end end], lambda x: x is not null), ',') as labels,
@@ -79,7 +82,9 @@ inc as (select *, round((case evid when 'low' then 0.45 when 'medium' then 0.65
   case when tri = 'high' then 'escalate' when cs >= 0.6 then 'investigate' else 'observe' end as rec,
   case when rec = 'escalate' then 'Escalate to the owner of ' || prim || ' and review downstream impact. Start from the propagation summary: '
        when rec = 'investigate' then 'Investigate ' || prim || ' with focus on recent anomalies and service relationships. Propagation view: '
-       else 'Observe ' || prim || ' and monitor for repeat signals before escalation. Current propagation view: ' end as rectext from i0)"""
+       else 'Observe ' || prim || ' and monitor for repeat signals before escalation. Current propagation view: ' end as rectext,
+  case when prop then 'Propagation detected via ' || coalesce(sigid, 'unknown_signature') || ' with confidence ' || printf('%.2f', conf) || ' and lag pattern ' ||
+       coalesce(nullif(lagtext, ''), 'no lag details') || '.' else 'No propagation signature was detected by the correlation engine for this event.' end as proptext from i0)"""
 INV = """inv as (
   select event_id, 'metrics_query_tool' as tool, 'ok' as status, cast(trunc(cpu_pct) as int) % 5 as found, 'detector_decisions' as source from fx_wide
   union all select event_id, 'topology_lookup_tool', 'ok', 0, 'service_topology' from fx_wide
@@ -107,10 +112,10 @@ ORACLES = {
         case when scen like 'S4%' then 'missing required field: raw_event_refs' end,
         case when scen like 'S4%' then 'primary_service must be included in services_observed' end,
         case when sev = 'critical' then 'severity_preliminary is outside the allowed set' end) as errors from enr""",
-    "context_slices": f"""with {ENR} select event_id, replace(related, ', ', ',') as related_services, bads as recent_anomalies,
+    "context_slices": f"""with {INC} select event_id, replace(related, ', ', ',') as related_services, bads as recent_anomalies,
         'Primary service ' || prim || ' is connected to related services ' || related || ' in the current slice.' as topology_summary,
-        case when prop then '' else 'No propagation signature was detected by the correlation engine for this event.' end as propagation_summary,
-        cast(least(4000, 700 + nrel * 120 + nbad * 80) as integer) as estimated_tokens from enr""",
+        proptext as propagation_summary,
+        cast(least(4000, 700 + nrel * 120 + nbad * 80) as integer) as estimated_tokens from inc""",
     "contract_context_slices": f"""with {ENR} select event_id, case when 700 + nrel * 120 + nbad * 80 > 1100 then 'token_budget.estimated_tokens cannot exceed token_budget.max_tokens' else '' end as errors from enr""",
     "incident_records": f"""with {INC} select event_id, tri as severity, case when tri = 'high' then 'escalate' else 'investigate' end as routing_decision,
         cast(nbad as integer) as anomaly_count, cast(nrel as integer) as related_services_count,
@@ -119,10 +124,10 @@ ORACLES = {
         case when prop then 'shared_dependency_pressure_or_downstream_cascade' else 'service_specific_anomaly' end as probable_cause,
         evid as evidence_strength, 'low' as retrieval_quality, 'medium' as model_uncertainty, 'warning' as policy_status, {r4('cs', 'confidence_score')}, true as human_review_required,
         'Evidence strength is ' || evid || ' and retrieval quality is low; policy status is warning. Missing context: runbook_refs, policy_refs.' as confidence_reason,
-        rec as recommendation_type, substring(rectext || case when prop then 'Propagation detected via ' || sigid else 'No propagation signature was detected by' end, 1, 60) as recommendation_head, true as requires_human_approval from inc""",
+        rec as recommendation_type, rectext || proptext as recommendation_text, true as requires_human_approval from inc""",
     "decision_query": f"""with {SIG} select event_id, service_name, {r4('anomaly_score', 'anomaly_score')}, cand as candidate_flag, reasons as reason_codes, scenario_tag
         from sig where service_name = 'payments-api' and flag order by generated_at, event_id limit 25""",
-    "log_query": f"""with {SIG}, r as (select * from sig where service_name = 'orders-api' order by generated_at, event_id limit 20)
+    "log_query": f"""with {SIG}, r as (select * from sig where service_name = 'orders-api')
         select epoch_us(generated_at) as ts_us, service_name, 'low' as severity, event_id,
         'Detector observed service=' || service_name || ' score=' || cast(anomaly_score as varchar) || ' reasons=' || reasons as message
         from r where not flag and not cand order by generated_at, event_id limit 10""",
@@ -136,7 +141,7 @@ ORACLES = {
     "tool_usage": f"""with {FX_WIDE}, {INV} select event_id, tool as tool_name, status, source, count(*) as calls, cast(sum(found) as bigint) as records_found from inv group by all""",
     "audit_trace": f"""with {EVALD} select event_id, cast(nbad as integer) as recent_anomalies_count, cast(least(4000, 700 + nrel * 120 + nbad * 80) as integer) as estimated_tokens,
         pst as status, nv as violations, 'tool_invocations' as evidence_source, {r4('cs', 'confidence_score')}, tri as severity, rec as recommendation_type from ev""",
-    "notification_intents": f"""with {INC} select event_id, tri as severity, 'ops-console' as channel, substring(rectext, 1, 60) as message_head from inc where tri = 'high'""",
+    "notification_intents": f"""with {INC} select event_id, tri as severity, 'ops-console' as channel, rectext || proptext as message from inc where tri = 'high'""",
     "incident_bundle": f"""with {EVALD} select event_id, tri as severity, case when prop then 'shared_dependency_pressure_or_downstream_cascade' else 'service_specific_anomaly' end as diagnosis,
         evid as evidence_strength, rec as recommendation_type, pst as status from ev""",
     "decision_slices": f"""with {SIG}, m as (select *, round(round(anomaly_score, 6) - round(thr, 6), 6) as margin from sig) select service_name, scenario_tag, count(*) as row_count, {r4('100 * avg(cand::int)', 'candidate_rate_pct')}, {r4('100 * avg(flag::int)', 'flag_rate_pct')},
