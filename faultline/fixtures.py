@@ -13,16 +13,16 @@ from faultline.session import prepare
 # Windows of 12 h every 6 h with 1 h tolerance suit the 30-day test stream.
 TEST_POLICY = WindowingPolicy(length_s=43_200, stride_s=21_600, tolerance_s=3_600)
 
+# Components of the embeddings table.
+POINT_DIMS = 64
+
 # The surrogate score tops out near 0.7: lower limits make every flag branch occur.
 TEST_THRESHOLDS = {"payments-api": 0.58, "orders-api": 0.56, "checkout-api": 0.60}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table; a file too small to split is spread over the cores."""
-    prepare(spark)
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """A test table as its files give it."""
+    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _service() -> Column:
@@ -153,10 +153,10 @@ def wide_from(li: DataFrame) -> DataFrame:
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three-dimensional points from the leading embedding components."""
+    """Points from all embedding components."""
     e = table(spark, sf_dir, "embeddings")
     return e.select(
         F.col("vec_id").alias("id"),
-        *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(3)],
+        *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(POINT_DIMS)],
         F.concat(F.lit("label_"), F.col("label").cast("string")).alias("scenario_tag"),
     )

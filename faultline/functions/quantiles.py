@@ -3,8 +3,10 @@
 Pass one sketches a narrow bracket around every wanted rank.  Pass two counts
 the rows below each bracket and gathers the distinct values inside it, both
 combined on the map side.  The wanted ranks are then read off the few bracket
-values.  The sketch error is far smaller than the bracket, and a rank that
-falls outside its bracket raises instead of returning a wrong value.
+values.  The rows between two brackets keep their count and both end values, so
+the ranks next to a bracket are known too and small groups need no path of their
+own.  The sketch error is far smaller than the bracket, and a rank that falls
+outside all of this raises instead of returning a wrong value.
 """
 
 from __future__ import annotations
@@ -17,8 +19,6 @@ from pyspark.sql import Window as W
 
 ACCURACY = 50_000
 MARGIN = 0.0002
-# Below this many values a bracket could miss a neighbouring rank, so all are kept.
-SMALL = 20_000
 
 
 def unpivot(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -51,16 +51,14 @@ def long_quantiles(
         p = probs[name]
         edges += [max(p - margin, 0.0), min(p + margin, 1.0)]
     sketch = data.groupBy(*keys).agg(
-        F.count("value").alias("_n"),
         F.percentile_approx("value", F.array(*[F.lit(e) for e in edges]), accuracy).alias("_b"),
     )
     lows, highs = [], []
     for i, name in enumerate(names):
-        tiny = F.col("_n") < SMALL
         at_start, at_end = probs[name] - margin <= 0, probs[name] + margin >= 1
         bottom, top = F.lit(float("-inf")), F.lit(float("nan"))  # NaN ranks above every number
-        lows.append(bottom if at_start else F.when(tiny, bottom).otherwise(F.col("_b")[2 * i]))
-        highs.append(top if at_end else F.when(tiny, top).otherwise(F.col("_b")[2 * i + 1]))
+        lows.append(bottom if at_start else F.col("_b")[2 * i])
+        highs.append(top if at_end else F.col("_b")[2 * i + 1])
     plan = sketch.select(
         *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
         F.struct(F.array(*lows).alias("lo"), F.array(*highs).alias("hi")).alias("_t"),
@@ -72,13 +70,13 @@ def long_quantiles(
         hit = data.withColumn("_t", plan.select("_t").scalar())
 
     # A value inside some bracket keeps its own row; the values between two
-    # brackets share one row, placed by its smallest value.
+    # brackets share one row with their least and greatest value.
     span = range(len(names))
     inside = " or ".join(f"(value >= _t.lo[{i}] and value <= _t.hi[{i}])" for i in span)
     band = " + ".join(f"cast(value >= _t.lo[{i}] as int)" for i in span)
     counts = (
         hit.groupBy(*keys, F.expr(f"case when {inside} then value end").alias("_v"), F.expr(f"case when {inside} then -1 else {band} end").alias("_band"))
-        .agg(F.count(F.lit(1)).alias("_c"), F.min("value").alias("_o"))
+        .agg(F.count(F.lit(1)).alias("_c"), F.min("value").alias("_o"), F.max("value").alias("_m"))
     )
     over = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(1))
     ranked = counts.withColumns(
@@ -93,7 +91,8 @@ def long_quantiles(
         low = f"floor({pos} + 0.5D)" if mode == "nearest" else f"floor({pos})"
         high = low if mode == "nearest" else f"least(floor({pos}) + 1, _tot - 1)"
         for tag, rank in (("lo", low), ("hi", high)):
-            aggs.append(F.expr(f"max(case when _end > {rank} and _end - _c <= {rank} then _v end)").alias(f"_{tag}{i}"))
+            value = f"case when _end - _c = {rank} then _o when _end - 1 = {rank} then _m else _v end"
+            aggs.append(F.expr(f"max(case when _end > {rank} and _end - _c <= {rank} then {value} end)").alias(f"_{tag}{i}"))
         aggs.append(F.expr("0D" if mode == "nearest" else f"max({pos} - floor({pos}))").alias(f"_w{i}"))
     picked = ranked.groupBy(*keys).agg(*aggs)
     miss = "cast(raise_error('quantile rank outside its bracket; raise margin') as double)"

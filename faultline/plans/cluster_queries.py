@@ -16,7 +16,7 @@ from faultline.session import cut
 from faultline.plans.signal_queries import assignments
 from faultline.plans.telemetry_queries import r4, windows_of
 
-POINT_EPS, POINT_MIN = 0.045, 4
+POINT_EPS, POINT_MIN = 1.13, 4
 
 
 def _rows(spark, d):
@@ -39,7 +39,7 @@ def min_max_matrix(spark, d):
 
 
 def point_clusters(spark, d):
-    return DE.density_clusters(X.points(spark, d), ["x0", "x1", "x2"], eps=POINT_EPS, min_samples=POINT_MIN)
+    return DE.density_clusters(X.points(spark, d), [f"x{i}" for i in range(X.POINT_DIMS)], eps=POINT_EPS, min_samples=POINT_MIN)
 
 
 def density_clusters(spark, d):

@@ -7,9 +7,8 @@ ORDER = "service_degradation_order_encoded"
 COL = {c: ("order_code::double" if c == ORDER else f"coalesce({c}, 0)::double") for c in C.FEATURES_V1}
 ASG = "asg as (select *, cast(k % 4 - 1 as integer) as cluster_id, k % 4 = 0 as noise, round(quality, 2) as strength from features)"
 ELIG = FEATURES.replace("from sc left join tr on sc.k = tr.k", "from (select * from sc where accepted and quality >= 0.85) sc left join tr on sc.k = tr.k")
-D3 = "sqrt((a.x0-b.x0)*(a.x0-b.x0) + (a.x1-b.x1)*(a.x1-b.x1) + (a.x2-b.x2)*(a.x2-b.x2))"
-CL = f"""p as (select vec_id as id, embedding[1]::double as x0, embedding[2]::double as x1, embedding[3]::double as x2, 'label_' || label as tag from embeddings),
-e as (select a.id as u, b.id as v from p a join p b on {D3} <= 0.045),
+CL = f"""p as (select vec_id as id, embedding::double[] as x, 'label_' || label as tag from embeddings),
+e as materialized (select a.id as u, b.id as v from p a join p b on list_distance(a.x, b.x) <= 1.13),
 core as (select u as id from e group by u having count(*) >= 4),
 ce as (select u, v from e where u in (select id from core) and v in (select id from core)),
 reach as (select u, v from ce union select r.u, ce.v from reach r join ce on r.v = ce.u),

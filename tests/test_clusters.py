@@ -97,3 +97,53 @@ def test_forest(spark):
     want = 2 ** (-(total / 50) / float(FO.normaliser(256)))
     assert next(r.anomaly_score for r in scored if r.event_id == "e7") == pytest.approx(want, abs=1e-6)
     assert float(FO.normaliser(2)) == 1.0 and float(FO.normaliser(1)) == 0.0
+
+
+@pytest.mark.parametrize("d,tile", [(17, 7), (17, 1_000), (40, 20)])
+def test_density_in_many_dimensions(spark, monkeypatch, d, tile):
+    monkeypatch.setattr(D, "TILE_ROWS", tile)
+    rng = np.random.default_rng(d)
+    pts = np.vstack([rng.normal(c, 0.1, (40, d)) for c in (0, 0.45, 3)] + [rng.uniform(-1, 3, (30, d))])
+    pts[50:56] = pts[50]
+    eps = 0.15 * np.sqrt(2 * d)
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(pts)], "id long, " + ", ".join(f"x{i} double" for i in range(d)))
+    got = D.density_clusters(df, [f"x{i}" for i in range(d)], eps=eps, min_samples=5).orderBy("id").collect()
+    want = sequential(pts, eps, 5)
+    assert [r.cluster_id for r in got] == want
+    assert len(set(want)) > 2
+
+
+def test_density_writes_no_pair_list(spark, monkeypatch):
+    """A crowded ball of n points: every written table has at most a few rows per point."""
+    n, d = 300, 17
+    sizes = []
+    real = D.cut
+
+    def counted(df):
+        out = real(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(D, "cut", counted)
+    pts = np.random.default_rng(3).normal(0, 0.01, (n, d))
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(pts)], "id long, " + ", ".join(f"x{i} double" for i in range(d)))
+    got = D.density_clusters(df, [f"x{i}" for i in range(d)], eps=0.2, min_samples=4).select("cluster_id").distinct().collect()
+    assert [r.cluster_id for r in got] == [0]
+    assert max(sizes) <= n
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 10, 101, 2_500, 60_000])
+@pytest.mark.parametrize("mode", ["linear", "nearest"])
+def test_quantiles_take_one_path_at_every_size(spark, n, mode):
+    from faultline.functions.quantiles import long_quantiles
+
+    values = np.random.default_rng(n).integers(0, max(2, n // 3), n).astype(float)
+    long = spark.createDataFrame(__import__("pandas").DataFrame({"g": "a", "value": values}))
+    probs = {f"q{i}": p for i, p in enumerate((0.0, 0.1, 0.25, 0.33, 0.5, 0.7, 0.9, 0.95, 0.99, 1.0))}
+    got = long_quantiles(long, ["g"], probs, mode=mode).first()
+    s = np.sort(values)
+    for name, p in probs.items():
+        pos = (n - 1) * p
+        k = int(np.floor(pos))
+        want = s[int(np.floor(pos + 0.5))] if mode == "nearest" else s[k] + (s[min(k + 1, n - 1)] - s[k]) * (pos - k)
+        assert abs(got[name] - want) < 1e-9, (n, p)
