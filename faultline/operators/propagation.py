@@ -59,7 +59,7 @@ def post_filter(
     of the cluster scores.  Rows that were noise already pass unchanged.
     """
     f = features.selectExpr("window_id as _w", "iforest_score_mean")
-    scored = assignments.join(f, F.expr("window_id = _w"), "left").drop("_w")
+    scored = assignments.drop("iforest_score_mean").join(f, F.expr("window_id = _w"), "left").drop("_w")
     # One row per cluster, used three times below.
     conf = cut(cluster_confidence(scored, aggregation))
     # One row per cluster; linear quantile over them only when the best falls short.

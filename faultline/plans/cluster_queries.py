@@ -11,12 +11,14 @@ from faultline.operators import features as FT
 from faultline.operators import propagation as PR
 from faultline.operators import stability as ST
 from faultline.operators import windows as W
-from faultline.plans.scoring_queries import rounded
+from faultline.plans.scoring_queries import feature_rows_v1, rounded
 from faultline.session import cut
 from faultline.plans.signal_queries import assignments
-from faultline.plans.telemetry_queries import r4, windows_of
+from faultline.plans.telemetry_queries import features_of, r4, windows_of
 
 POINT_EPS, POINT_MIN = 1.13, 4
+CLUSTER_EPS = {"v1": 0.62, "v2": 1.1}
+POST_THRESHOLD = 0.37
 
 
 def _rows(spark, d):
@@ -107,20 +109,53 @@ def validate_propagation(spark, d):
     return rounded(v2.unionByName(v1))
 
 
+def _clusters(spark, d, contract):
+    """Windows, features and the clusters of the scaled feature contract."""
+    w, f = _rows(spark, d)
+    f = features_of(spark, d) if contract == "v2" else FT.topology_features(f)
+    w, f = cut(w), cut(f)
+    cols = C.FEATURES_V2 if contract == "v2" else C.FEATURES_V1
+    m = DE.min_max(DE.training_matrix(w, f, keys=cols), cols)
+    return w, f, cut(DE.density_clusters(m, cols, eps=CLUSTER_EPS[contract], min_samples=3, id_col="window_index").drop(*cols))
+
+
+def _clustered(spark, d, contract):
+    """Matrix, scaling, clusters and post-filter in one run."""
+    w, f, a = _clusters(spark, d, contract)
+    return rounded(PR.post_filter(a, f, threshold=POST_THRESHOLD).select(
+        "window_id", "raw_cluster_id", "cluster_id", "noise", "cluster_strength", "cluster_iforest_confidence", "post_filter_threshold",
+        "post_filter_policy", "post_filter_passed"))
+
+
+def clustered_windows_v1(spark, d):
+    return _clustered(spark, d, "v1")
+
+
+def clustered_windows_v2(spark, d):
+    return _clustered(spark, d, "v2")
+
+
+def clustered_validation(spark, d):
+    """The whole way from telemetry to propagation metrics, on found clusters."""
+    w, f, a = _clusters(spark, d, "v1")
+    kept = cut(PR.post_filter(a, f, threshold=POST_THRESHOLD))
+    return rounded(PR.validate(kept, f, w).withColumn("version", F.lit("v2")))
+
+
 def bootstrap_stability(spark, d):
-    """Leave-one-out stability of the leading window features."""
-    w = W.quality_split(windows_of(spark, d)).where("eligible")
-    cols = ["latency_p95_payments", "latency_p95_orders", "error_rate_checkout", "redis_latency"]
-    rows = cut(FT.level_features(w).select("window_index", "scenario_tag", *cols))
-    return rounded(ST.bootstrap_stability(rows, cols, eps=0.25, min_samples=3, id_col="window_index", iterations=6))
+    """Leave-one-out stability of the window features."""
+    f = feature_rows_v1(spark, d)
+    cols = list(C.FEATURES_V1)
+    rows = cut(f.select("window_index", "scenario_tag", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols]))
+    return rounded(ST.bootstrap_stability(rows, cols, eps=0.25, min_samples=3, id_col="window_index"))
 
 
 def parameter_sweep(spark, d):
     w, f = _rows(spark, d)
     f = cut(FT.topology_features(f).select("window_id", "iforest_score_mean", "detected_origin_service",
-                                           *[f"topological_distance_{n}" for n in C.TOPOLOGY_NODES], *C.FEATURES_V1[3:11]))
+                                           *[f"topological_distance_{n}" for n in C.TOPOLOGY_NODES], *[c for c in C.FEATURES_V1 if c != "iforest_score_mean"]))
     w = cut(w)
-    cols = list(C.FEATURES_V1[3:11])
+    cols = list(C.FEATURES_V1)
     m = DE.min_max(DE.training_matrix(w, f, keys=cols), cols)
     return rounded(ST.parameter_sweep(m, cols, f, w, eps_values=(0.3, 0.45, 0.6), min_samples=3))
 
@@ -133,7 +168,7 @@ def partition_summary(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        training_matrix, min_max_matrix, density_clusters, cluster_purity, cluster_summary, post_filter,
+        training_matrix, min_max_matrix, clustered_windows_v1, clustered_windows_v2, clustered_validation, density_clusters, cluster_purity, cluster_summary, post_filter,
         bootstrap_stability, parameter_sweep, propagation_signatures, eligibility_report, order_match, validate_propagation, partition_summary,
     )
 }

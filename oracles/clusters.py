@@ -83,7 +83,39 @@ def _pf(name: str, t: float, agg: str) -> str:
       {r4('case when ok then strength else 0 end', 'cluster_strength')}, {r4('coalesce(conf, 0)', 'cluster_iforest_confidence')}, {r4('t', 'post_filter_threshold')}, pol as post_filter_policy, ok as post_filter_passed from j)"""
 
 
+def _clusters(contract) -> str:
+    """Scaled contract, sequential rule over all pairs of windows, post-filter."""
+    cols, eps = (C.FEATURES_V1, 0.62) if contract == "v1" else (C.FEATURES_V2, 1.1)
+    val = lambda c: "order_code::double" if c == ORDER else f"coalesce({c}, 0)::double"
+    scale = lambda c: f"case when max(f_{c}) over () = min(f_{c}) over () then 0 else round((f_{c} - min(f_{c}) over ()) / (max(f_{c}) over () - min(f_{c}) over ()), 6) end"
+    dist = f"sqrt(list_sum(list_transform(range(1, {len(cols) + 1}), lambda i: (a.x[i] - b.x[i]) * (a.x[i] - b.x[i]))))"
+    return f"""{FEATURES}, fmat as materialized (select *, {', '.join(f'{val(c)} as f_{c}' for c in cols)} from features),
+fx as materialized (select k, [{', '.join(scale(c) for c in cols)}] as x from fmat),
+fe as materialized (select a.k as u, b.k as v from fx a join fx b on {dist} <= {eps}),
+fcore as materialized (select u as k from fe group by u having count(*) >= 3),
+fce as materialized (select u, v from fe where u in (select k from fcore) and v in (select k from fcore)),
+freach as (select u, v from fce union select r.u, e.v from freach r join fce e on r.v = e.u),
+flab as materialized (select u as k, min(v) as label from freach group by u),
+fal as materialized (select k, label from flab union all select e.u, min(flab.label) from fe e join flab on e.v = flab.k where e.u not in (select k from fcore) group by e.u),
+fnum as (select label, cast(row_number() over (order by label) - 1 as integer) as cid, n from (select label, count(*) as n from fal group by label)),
+asg0 as materialized (select fmat.*, coalesce(cid, -1) as cluster_id, cid is null as noise, coalesce(round(n / (select count(*) from fmat)::double, 6), 0) as strength
+  from fmat left join fal using (k) left join fnum using (label)),
+c as (select cluster_id, round(quantile_cont(iforest_score_mean, 0.25), 6) as conf from asg0 where cluster_id <> -1 group by cluster_id),
+lim as (select case when max(conf) < 0.37 then round(quantile_cont(conf, 0.7), 6) else 0.37 end as t, case when max(conf) < 0.37 then 'adaptive_quantile_fallback' else 'fixed_threshold' end as pol from c),
+pfj as (select asg0.*, c.conf, lim.t, lim.pol, cluster_id = -1 or conf >= t as ok from asg0 left join c using (cluster_id), lim),
+asg as materialized (select * exclude (cluster_id, noise, strength), cluster_id as raw_cluster_id, case when ok then cluster_id else -1 end as cluster_id,
+  case when ok then noise else true end as noise, case when ok then strength else 0 end as strength from pfj)"""
+
+
+def _clustered(contract: str) -> str:
+    return f"""with recursive {_clusters(contract)} select window_id, raw_cluster_id, cluster_id, noise, {r4('strength', 'cluster_strength')},
+        {r4('coalesce(conf, 0)', 'cluster_iforest_confidence')}, {r4('t', 'post_filter_threshold')}, pol as post_filter_policy, ok as post_filter_passed from asg"""
+
+
 ORACLES = {
+    "clustered_windows_v1": _clustered("v1"),
+    "clustered_windows_v2": _clustered("v2"),
+    "clustered_validation": f"with recursive {_clusters('v1')}, {OM}, {PU} {_val('v2')}",
     "training_matrix": f"with {FEATURES} select window_id, {', '.join(r4(f'case when k % 3 <> 0 then {e} else 0.0 end', c) for c, e in COL.items())} from features",
     "min_max_matrix": f"with {ELIG}, m as (select window_id, {', '.join(f'{e} as {c}' for c, e in COL.items())} from features) select window_id, "
     + ", ".join(r4(f"case when max({c}) over () = min({c}) over () then 0 else round(({c} - min({c}) over ()) / (max({c}) over () - min({c}) over ()), 6) end", c) for c in C.FEATURES_V1)
