@@ -19,6 +19,7 @@ from faultline.functions.scalars import count_at_most
 
 SLICES = 64
 SLICE_BYTES = 128 << 20
+MAX_SLICES = 10_000
 BLOCK = 100_000
 
 
@@ -29,8 +30,10 @@ def tie_key(event_id: Column) -> Column:
 
 def slices_for(df: DataFrame) -> int:
     """Slices so that one holds about ``SLICE_BYTES`` by the optimizer's size estimate; balance only, ranks do not depend on it."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(max(SLICES, size // SLICE_BYTES), 10_000)
+    # Estimates multiply along joins and may have any number of digits, so the rounded text form is read.
+    number, unit = df._jdf.queryExecution().optimizedPlan().stats().simpleString().split(",")[0].split("=")[1].split()
+    size = min(float(number) * 1024 ** ("B", "KiB", "MiB", "GiB", "TiB", "PiB", "EiB").index(unit), float(SLICE_BYTES * MAX_SLICES))
+    return max(SLICES, int(size // SLICE_BYTES))
 
 
 def with_ordinal(

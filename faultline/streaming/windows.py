@@ -23,8 +23,8 @@ def stream_windows(
     event, which a stream cannot know.
     Windows reach past their end by the larger of stride and tolerance, so late
     classes fall out of the offset inside the window.  Sequence order needs the
-    batch form, since streaming aggregation has no ordered input: order, quality
-    score and acceptance, which depend on it, are null here.
+    batch form, since streaming aggregation has no ordered input: order and
+    acceptance are null here, and the quality score has no order penalty.
     """
     if isinstance(anchor, dt.datetime):
         anchor = round((anchor.replace(tzinfo=anchor.tzinfo or dt.timezone.utc) - _EPOCH) / dt.timedelta(microseconds=1))
@@ -68,6 +68,6 @@ def stream_windows(
         *[f"{nothing} as activation_{v}_{n}" for n in C.SHORT_NAME.values() for v in ("v1", "v2")],
     )
     graded = grade_windows(wide, policy, n_expected=len(C.EXPECTED_PAIRS))
-    unknown = ("ordering_broken", "ordering_violation_services", "window_data_quality_score", "accepted_for_training")
+    unknown = ("ordering_broken", "ordering_violation_services", "accepted_for_training")
     types = dict(graded.dtypes)
     return graded.withColumns({c: F.lit(None).cast(types[c]) for c in unknown if c in types})
