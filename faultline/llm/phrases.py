@@ -5,12 +5,12 @@ frequent, sorted by piece and position.  It is kept per block of whole
 documents: one row with the block's positions and phrase codes, beside a
 dictionary of the block's distinct phrases and their counts.  A level is
 
-    group-count    dictionaries summed by phrase; a phrase comes once per block
-    semi-join      dictionaries with the frequent phrases, which name the codes
+    group-count    dictionary rows summed by phrase over a window, so that
+    semi-join      the rows of frequent phrases alone go back to their blocks
     merge-join     R(k) with itself at adjacent positions of one piece: R(k+1)
 
 so occurrences are never shuffled by phrase, and a phrase that holds a third of
-them is one dictionary row per block.  A (k+1)-word phrase is the pair of its
+them is one dictionary row per block of ``BLOCK_BYTES``.  A (k+1)-word phrase is the pair of its
 first and its last k words, by the numbers of those frequent phrases; words and
 phrases are compared in full, never by hash.
 """
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from faultline.llm.shared import FOLD_ASCII, ship, shuffles_freed, text_chunks, written
+from faultline.llm.shared import FOLD_ASCII, dropped, ship, shuffles_freed, text_chunks, written
 
 MIN_COUNT, LONGEST, TOP, SHARE = 100, 5, 2000, 100
 BLOCK_BYTES = 4 << 20
@@ -138,9 +138,11 @@ def split_join(many: DataFrame, few: DataFrame, keys: list[str], total: int) ->
     return many.join(top, keys).unionByName(many.join(F.broadcast(few.where(hot).select(*keys)), keys, "left_anti").join(rest, keys))
 
 
-def _numbered(df: DataFrame) -> DataFrame:
-    """Numbers fixed by being written; they name frequent phrases, whatever their order."""
-    return written(df.withColumn("gid", F.monotonically_increasing_id()), "frequent")
+def _frequent(entries: DataFrame, keys: list[str], min_count: int) -> DataFrame:
+    """block, local, keys, a and gid of the dictionary rows of frequent phrases; gids are fixed by being written."""
+    over = W.partitionBy(*keys)
+    counted = entries.withColumn("a", F.sum("n").over(over)).where(F.col("a") >= min_count).withColumn("row", F.monotonically_increasing_id())
+    return written(counted.withColumn("gid", F.min("row").over(over)).select("block", "local", *keys, "a", "gid"), "frequent")
 
 
 def _with_parts(frequent: DataFrame, below: DataFrame) -> DataFrame:
@@ -166,34 +168,45 @@ def frequent_phrases(docs: DataFrame, *, min_count: int = MIN_COUNT, longest: in
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     relation = written(rows.mapInArrow(_first_relation, f"{_BLOCK}, {_DICTIONARY}"), "occurrences")
     entries = relation.select("block", F.inline("list"))
-    counts = entries.groupBy("lang", "word").agg(F.sum("n").alias("a"), F.count(F.lit(1)).alias("rows"))
-    counts = written(counts, "words")
-    totals = written(counts.groupBy("lang").agg(F.sum("a").alias("n")), "totals")
-    frequent = _numbered(counts.where(F.col("a") >= min_count))
-    level = frequent.select(
+    totals = written(entries.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
+    named = _frequent(entries.select("block", "local", "lang", "word", "n"), ["lang", "word"], min_count)
+    level = named.groupBy("gid").agg(*[F.first(c).alias(c) for c in ("lang", "word", "a")]).select(
         "gid", F.lit(None).cast("long").alias("left"), F.lit(None).cast("long").alias("right"), "lang", "a",
         F.array("word").alias("words"), F.array("a").alias("heads"), F.array("a").alias("tails"),
     )
-    every, keys = [level], ["lang", "word"]
+    level = written(level, "phrases")
+    every = [level]
     for k in range(1, longest):
-        size = relation.select(F.sum(F.size("list"))).first()[0] or 0
-        entries = relation.select("block", F.inline("list")).select("block", "local", *keys)
-        named = split_join(entries, frequent.select(*keys, "gid", "rows"), keys, size).select(F.col("block").alias("of"), "local", "gid")
-        left, right = relation.select("block", "step", "code").groupBy("block"), named.groupBy("of")
-        relation = written(left.cogroup(right).applyInArrow(_extended, f"{_BLOCK}, {_DICTIONARY}"), "occurrences")
-        entries, keys = relation.select(F.inline("list")), ["left", "right"]
-        counts = entries.groupBy(*keys).agg(F.sum("n").alias("a"), F.count(F.lit(1)).alias("rows"))
-        frequent = _numbered(counts.where(F.col("a") >= min_count))
-        level = written(_with_parts(frequent.drop("rows"), level), "phrases")
+        left, right = relation.select("block", "step", "code").groupBy("block"), named.select(F.col("block").alias("of"), "local", "gid").groupBy("of")
+        wider = written(left.cogroup(right).applyInArrow(_extended, f"{_BLOCK}, {_DICTIONARY}"), "occurrences")
+        dropped(relation)
+        relation = wider
+        entries = relation.select("block", F.inline("list")).select("block", "local", "left", "right", "n")
+        found = _frequent(entries, ["left", "right"], min_count)
+        dropped(named)
+        named = found
+        pairs = written(named.groupBy("gid").agg(*[F.first(c).alias(c) for c in ("left", "right", "a")]), "pairs")
+        level = written(_with_parts(pairs, level), "phrases")
         every.append(level)
         if level.isEmpty():
             break
+    dropped(relation)
+    dropped(named)
     out = every[0]
     for more in every[1:]:
         out = out.unionByName(more)
     return out, totals
 
 
+def cut_score() -> str:
+    """(score, at) of the lowest cut of ``k`` words, from a, n, heads and tails; products are exact to 38 digits."""
+    big = "cast({} as decimal(19, 0))".format
+    return (
+        f"array_min(transform(sequence(1, k - 1), i -> struct(cast(({big('a')} * {big('n')} * 1000) div "
+        f"({big('heads[i - 1]')} * {big('tails[k - i - 1]')}) as bigint) as score, i as at)))"
+    )
+
+
 def collocations(docs: DataFrame, *, top: int = TOP, **how: int) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's first ``top`` phrases of two words or more.
 
@@ -212,12 +225,7 @@ def collocations(docs: DataFrame, *, top: int = TOP, **how: int) -> DataFrame:
         best = phrases.withColumn("k", F.size("words")).join(covers, ["gid", "k"], "left")
         best = best.where(F.col("widest").isNull() | (100 * F.col("widest") < SHARE * F.col("a")))
         best = best.join(totals, "lang")
-        big = "cast({} as decimal(19, 0))"
-        cut = (
-            f"array_min(transform(sequence(1, k - 1), i -> struct(cast(({big.format('a')} * {big.format('n')} * 1000) div "
-            f"({big.format('heads[i - 1]')} * {big.format('tails[k - i - 1]')}) as bigint) as score, i as at)))"
-        )
-        scored = best.withColumn("cut", F.expr(cut)).select(
+        scored = best.withColumn("cut", F.expr(cut_score())).select(
             "lang", F.array_join("words", " ").alias("phrase"), "a", F.expr("heads[cut.at - 1]").alias("l"), F.expr("tails[k - cut.at - 1]").alias("r"), "n", F.expr("cut.score").alias("score")
         )
         order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm.shared import NULL_ID, id_or_least, ship, written
@@ -35,8 +35,13 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * total > len(codes)).tobytes(), "big")
 
 
+def text_key() -> Column:
+    """Tells texts apart that share an id; null text is empty."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc (null id: the smallest) and fp, the fingerprint as a signed 64-bit integer."""
+    """doc (null id: the smallest), key of the text, and fp, the fingerprint as a signed 64-bit integer."""
     ship(docs.sparkSession)
 
     @F.arrow_udf("long")
@@ -44,7 +49,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         codes = np.array([fingerprint(t.as_py()) for t in texts], np.uint64)
         return pa.array(codes.view(np.int64))
 
-    return docs.select(id_or_least().alias("doc"), of(F.col("text").cast("string")).alias("fp"))
+    return docs.select(id_or_least().alias("doc"), text_key().alias("key"), of(F.col("text").cast("string")).alias("fp"))
 
 
 def _segments(fp: str) -> str:
@@ -126,21 +131,32 @@ def components(docs: DataFrame) -> DataFrame:
     rows stay.  Other columns are not read; an empty table gives no rows.
     """
     found = written(fingerprints(docs), "fingerprints")
-    unique = written(found.groupBy("fp").agg(F.min("doc").alias("first")), "unique")
-    label = connected_components(link_edges(unique.select("fp")))
-    named = unique.join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("label", "fp"))
-    named = written(named.select("fp", "root", "first"), "roots")
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = named.join(least, "root").select("fp", "component_id")
+    of = _named(found).select("fp", F.col("first.doc").alias("component_id"))
     back = lambda c: F.nullif(F.col(c), F.lit(NULL_ID))
     return found.join(of, "fp").select(
         back("doc").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), back("component_id").alias("component_id")
     )
 
 
+def _named(found: DataFrame) -> DataFrame:
+    """fp and the first (doc, key) of its component."""
+    unique = written(found.groupBy("fp").agg(F.min(F.struct("doc", "key")).alias("first")), "unique")
+    label = connected_components(link_edges(unique.select("fp")))
+    named = unique.join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("label", "fp"))
+    named = written(named.select("fp", "root", "first"), "roots")
+    least = named.groupBy("root").agg(F.min("first").alias("first"))
+    return named.select("fp", "root").join(least, "root").select("fp", "first")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The row of the smallest doc_id of each component, all columns unchanged; of rows that repeat it, one."""
-    found = components(docs)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id")).distinct()
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """One row of each component, all columns unchanged: that of the smallest doc_id, null first, then of the least text hash.
+
+    Texts that share an id, or have none, are told apart by their hash; of rows
+    with the same id and text, one stays.
+    """
+    found = written(fingerprints(docs), "fingerprints")
+    first = _named(found).select(F.col("first.doc").alias("_a"), F.col("first.key").alias("_b")).distinct()
+    names = docs.columns
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(names)], id_or_least().alias("_doc"), text_key().alias("_key"))
+    kept = rows.join(first, (F.col("_doc") == F.col("_a")) & (F.col("_key") == F.col("_b")), "left_semi").dropDuplicates(["_doc", "_key"])
+    return kept.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(names)])
