@@ -9,9 +9,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CACHE_PIECES = 500_000
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 4 << 20
 #: A space before white space or at the end: fixed list of the white space characters of Unicode.
 _UNSAFE = r" (?:[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]|$)"
+#: Punctuation that never joins the letters before it; an apostrophe may.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _ENCODERS: dict[str, "PieceEncoder"] = {}
 
 
@@ -32,7 +34,6 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         codes = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         rest = [b for b in range(256) if b not in set(codes)]
@@ -42,6 +43,7 @@ class PieceEncoder:
     def reset(self) -> None:
         self.index: dict[str, int] = {}
         self.marks: dict[str, list[int]] = {}
+        self.words: dict[str, list[int]] = {}
         self.ids, self.bounds, self.n = array("I"), array("q", [0]), 0
 
     def _add(self, key: str, ids: list[int]) -> None:
@@ -51,20 +53,22 @@ class PieceEncoder:
         self.n += 1
 
     def _encode(self, text: str) -> list[int]:
-        """One piece: a space and letters are a single unit of the vocabulary's model, with or without punctuation after them."""
-        core = text.rstrip(".,;:!?")
-        word = core[1:] if core[:1] == " " else core
-        if word.isalpha():
+        """One piece: a space and letters are a single unit of the vocabulary's model, and so is punctuation after them."""
+        core = text.rstrip(_MARKS)
+        ids = self.words.get(core)
+        if ids is None:
+            word = core[1:] if core[:1] == " " else core
+            if not word.isalpha():
+                left, line, right = text.partition("\n")
+                if line and left and right and not left[-1].isspace() and not right[0].isspace():
+                    return self._encode(left) + self._punctuation("\n") + self._encode(right)
+                return self.tokenizer.encode(text, add_special_tokens=False).ids
             if core.isascii():
                 shown = core.replace(" ", "\u0120")
             else:
                 shown = core.encode().decode("latin-1").translate(self.printable)
-            ids = [t.id for t in self.model.tokenize(shown)]
-            return ids + self._punctuation(text[len(core) :]) if len(core) < len(text) else ids
-        left, line, right = text.partition("\n")
-        if line and left and right and not left[-1].isspace() and not right[0].isspace():
-            return self._encode(left) + self._punctuation("\n") + self._encode(right)
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+            ids = self.words[core] = [t.id for t in self.model.tokenize(shown)]
+        return ids + self._punctuation(text[len(core) :]) if len(core) < len(text) else ids
 
     def _punctuation(self, text: str) -> list[int]:
         if text not in self.marks:
