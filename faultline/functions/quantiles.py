@@ -39,7 +39,8 @@ def long_quantiles(
     """One row per key with a column per named probability.
 
     ``mode`` is ``linear`` (interpolated) or ``nearest`` (value at the rounded
-    rank).  Null values are ignored; NaN ranks above every number.
+    rank).  Null values are ignored; NaN ranks above every number.  Without keys
+    and without values the one row holds nulls; a key without values has no row.
     """
     if mode not in ("linear", "nearest"):
         raise ValueError(f"unknown quantile mode: {mode}")
@@ -94,12 +95,12 @@ def long_quantiles(
             value = f"case when _end - _c = {rank} then _o when _end - 1 = {rank} then _m else _v end"
             aggs.append(F.expr(f"max(case when _end > {rank} and _end - _c <= {rank} then {value} end)").alias(f"_{tag}{i}"))
         aggs.append(F.expr("0D" if mode == "nearest" else f"max({pos} - floor({pos}))").alias(f"_w{i}"))
-    picked = ranked.groupBy(*keys).agg(*aggs)
+    picked = ranked.groupBy(*keys).agg(*aggs, F.max("_tot").alias("_n"))
     miss = "cast(raise_error('quantile rank outside its bracket; raise margin') as double)"
     return picked.select(
         *keys,
         *[
-            F.expr(f"case when _lo{i} is null or _hi{i} is null then {miss} else _lo{i} + (_hi{i} - _lo{i}) * _w{i} end").alias(n)
+            F.expr(f"case when _n is null then null when _lo{i} is null or _hi{i} is null then {miss} else _lo{i} + (_hi{i} - _lo{i}) * _w{i} end").alias(n)
             for i, n in enumerate(names)
         ],
     )

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions.ordinals import with_ordinal
 from faultline.operators.density import density_clusters, min_max
+from faultline.operators.hierarchy import CondensedTree, select_clusters
 from faultline.operators.propagation import post_filter, validate
 from faultline.session import cut
 
@@ -69,6 +70,27 @@ def bootstrap_stability(
     )
 
 
+def selection_sweep(
+    tree: CondensedTree, rows: DataFrame, features: DataFrame, windows: DataFrame, cases: Sequence[tuple[str, str, float, bool]], *,
+    id_col: str = "window_index", threshold: float = 0.30,
+) -> DataFrame:
+    """Propagation metrics for each selection (name, method, epsilon, single) from one condensed tree.
+
+    ``rows`` has ``id_col`` and the window columns.  The loop below only builds
+    one metric row per (few) cases.
+    """
+    found = cut(select_clusters(tree, cases).withColumnRenamed("id", "_id"))
+    keep = [c for c in ("window_id", "scenario_tag", "window_data_quality_score") if c in rows.columns]
+    assigned = cut(rows.select(id_col, *keep).join(found, F.expr(f"cast({id_col} as bigint) = _id")).drop("_id"))
+    out = None
+    for name, *_ in cases:
+        kept = cut(post_filter(assigned.where(F.col("case_name") == name).drop("case_name"), features, threshold=threshold))
+        raw = kept.agg(F.expr("count(distinct case when raw_cluster_id <> -1 then raw_cluster_id end)").alias("n"))
+        row = validate(kept, features, windows).withColumns({"case_name": F.lit(name), "raw_cluster_count": raw.scalar()})
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def parameter_sweep(
     matrix: DataFrame, columns: Sequence[str], features: DataFrame, windows: DataFrame, *, eps_values: Sequence[float], min_samples: int,
     id_col: str = "window_index", threshold: float = 0.30,

@@ -8,6 +8,7 @@ from faultline import constants as C
 from faultline import fixtures as X
 from faultline.operators import density as DE
 from faultline.operators import features as FT
+from faultline.operators import hierarchy as H
 from faultline.operators import propagation as PR
 from faultline.operators import stability as ST
 from faultline.operators import windows as W
@@ -74,8 +75,23 @@ def _signatures(spark, d):
     return PR.signatures(assignments(spark, d), w, FT.resolve_features(w, f.where("window_index % 2 = 0")))
 
 
+def _clustered_signatures(spark, d):
+    """Signatures of the clusters found in the telemetry, every window with its features."""
+    w, f, a = _clusters(spark, d, "v1")
+    kept = cut(PR.post_filter(a, f, threshold=POST_THRESHOLD))
+    return PR.signatures(kept, w, FT.resolve_features(w, f))
+
+
 def propagation_signatures(spark, d):
-    return _signatures(spark, d).selectExpr(
+    return _signature_columns(_signatures(spark, d))
+
+
+def clustered_signatures(spark, d):
+    return _signature_columns(_clustered_signatures(spark, d))
+
+
+def _signature_columns(found):
+    return found.selectExpr(
         "signature_id", "cluster_id", "detected", "noise", "array_join(services_chain_observed, '>') as chain",
         "floor(lag_pattern_seconds_ci['payments-api_to_redis'].p10 * 1e4 + 0.5) / 1e4 as lag_p10",
         "floor(lag_pattern_seconds_ci['payments-api_to_redis'].p90 * 1e4 + 0.5) / 1e4 as lag_p90",
@@ -88,7 +104,20 @@ def propagation_signatures(spark, d):
 
 
 def eligibility_report(spark, d):
-    return rounded(PR.eligibility(_signatures(spark, d)).select(
+    return _eligibility_columns(_signatures(spark, d))
+
+
+def clustered_eligibility(spark, d):
+    return _eligibility_columns(_clustered_signatures(spark, d))
+
+
+def clustered_summary(spark, d):
+    w, f, a = _clusters(spark, d, "v1")
+    return PR.cluster_summary(cut(PR.post_filter(a, f, threshold=POST_THRESHOLD)))
+
+
+def _eligibility_columns(found):
+    return rounded(PR.eligibility(found).select(
         "source_signature_id", "eligible", "eligibility_score", "risk_score", "recommended_status",
         F.size("preconditions").alias("n_preconditions"), F.array_join("warnings", "; ").alias("warnings")))
 
@@ -142,6 +171,32 @@ def clustered_validation(spark, d):
     return rounded(PR.validate(kept, f, w).withColumn("version", F.lit("v2")))
 
 
+HIERARCHY = [("eom", "eom", 0.0, False), ("leaf", "leaf", 0.0, False), ("wide", "leaf", 0.8, False), ("single", "eom", 0.0, True)]
+SWEEP = [(f"{method}_{eps}_{str(single).lower()}", method, eps, single) for method in ("eom", "leaf") for eps in (0.0, 0.4) for single in (False, True)]
+
+
+def _hierarchy(spark, d, contract):
+    """Windows, features and the condensed tree of the scaled feature contract."""
+    w, f = _rows(spark, d)
+    f = features_of(spark, d) if contract == "v2" else FT.topology_features(f)
+    w, f = cut(w), cut(f)
+    cols = C.FEATURES_V2 if contract == "v2" else C.FEATURES_V1
+    m = DE.min_max(DE.training_matrix(w, f, keys=cols), cols)
+    return w, f, m, H.build_tree(m, cols, min_cluster_size=5, min_samples=3, id_col="window_index")
+
+
+def hierarchical_windows(spark, d):
+    """Hierarchical clusters of the 40-column matrix, several selections of one tree."""
+    _, _, _, tree = _hierarchy(spark, d, "v2")
+    return rounded(H.select_clusters(tree, HIERARCHY).withColumnRenamed("id", "window_index"))
+
+
+def selection_sweep(spark, d):
+    """Propagation metrics for every method, epsilon and single-cluster choice, all read from one tree."""
+    w, f, m, tree = _hierarchy(spark, d, "v1")
+    return rounded(ST.selection_sweep(tree, m, f, w, SWEEP, id_col="window_index", threshold=POST_THRESHOLD))
+
+
 def bootstrap_stability(spark, d):
     """Leave-one-out stability of the window features."""
     f = feature_rows_v1(spark, d)
@@ -168,7 +223,8 @@ def partition_summary(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        training_matrix, min_max_matrix, clustered_windows_v1, clustered_windows_v2, clustered_validation, density_clusters, cluster_purity, cluster_summary, post_filter,
+        training_matrix, min_max_matrix, clustered_windows_v1, clustered_windows_v2, clustered_validation, clustered_signatures, clustered_eligibility, clustered_summary,
+        hierarchical_windows, selection_sweep, density_clusters, cluster_purity, cluster_summary, post_filter,
         bootstrap_stability, parameter_sweep, propagation_signatures, eligibility_report, order_match, validate_propagation, partition_summary,
     )
 }
