@@ -125,7 +125,11 @@ def contract_enriched_events(spark, d):
 
 
 def context_slices(spark, d):
-    return N.context_slices(enriched(spark, d)).selectExpr(
+    return slice_columns(N.context_slices(enriched(spark, d)))
+
+
+def slice_columns(s):
+    return s.selectExpr(
         "event_id", "array_join(related_services, ',') as related_services",
         "array_join(array_sort(transform(recent_anomalies, a -> a.service_name)), ',') as recent_anomalies",
         "topology_summary", "propagation_summary", "estimated_tokens",
@@ -138,7 +142,11 @@ def contract_context_slices(spark, d):
 
 
 def incident_records(spark, d):
-    return incident_rows(spark, d).select(
+    return incident_columns(incident_rows(spark, d))
+
+
+def incident_columns(rows):
+    return rows.select(
         "event_id", "severity", "routing_decision", "anomaly_count", "related_services_count", "diagnosis_summary",
         "suspected_scope", "probable_cause", "evidence_strength", "retrieval_quality", "model_uncertainty", "policy_status",
         r4("confidence_score"), "human_review_required", "confidence_reason", "recommendation_type",
@@ -191,7 +199,11 @@ def notification_intents(spark, d):
 
 
 def incident_bundle(spark, d):
-    return N.incident_bundle(evaluated(spark, d)).selectExpr(
+    return bundle_columns(N.incident_bundle(evaluated(spark, d)))
+
+
+def bundle_columns(b):
+    return b.selectExpr(
         "event_id", "incident_card.severity as severity", "incident_card.diagnosis as diagnosis", "confidence_vector.evidence_strength as evidence_strength",
         "recommendation.recommendation_type as recommendation_type", "audit_trace.policy_evaluation.status as status")
 

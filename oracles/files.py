@@ -2,6 +2,7 @@
 
 from oracles.base import FEATURES, FX_WIDE, L, PAIRS, S, WINDOWS, r4
 from oracles.signals import EVALD, SIG
+from oracles.signals import ORACLES as SIGNALS
 
 ORACLES = {
     "dataset_files": f"""with {FX_WIDE}, k as (select 'parquet' as kind union all select 'csv')
@@ -15,6 +16,10 @@ ORACLES = {
         union all select 'bundle', tri, count(*) from ev group by tri""",
     "topic_round_trip": f"""with {FX_WIDE} select event_id, service_name, status_code, {r4('latency_ms', 'latency_ms')} from fx_wide""",
     "streamed_windows": f"""with {WINDOWS} select window_id, services as services_included, n_strict as strict_event_count, n_tol as late_events_within_tolerance,
-        n_disc as late_discarded_count, covered as covered_pairs, {', '.join(r4(f'"{c}"', c.replace('-', '_')) for _, _, c in PAIRS)}, scenario_tag, degraded as degraded_quality
+        n_disc as late_discarded_count, covered as covered_pairs, {', '.join(r4(f'"{c}"', c.replace('-', '_')) for _, _, c in PAIRS)}, scenario_tag, degraded as degraded_quality,
+        {r4('quality', 'window_data_quality_score')}, broken as ordering_broken, violators as ordering_violation_services, accepted as accepted_for_training
         from windows, span where ws + {L + S} <= ((t1 - 3600000000) // 1000) * 1000""",
+    "streamed_incidents": SIGNALS["incident_records"],
+    "streamed_slices": SIGNALS["context_slices"],
+    "streamed_bundles": SIGNALS["incident_bundle"],
 }
