@@ -35,7 +35,7 @@ _BREAK = np.zeros(256, bool)
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 _INSIDE = ~_BREAK
 _INSIDE[[0x20, 0x09]] = False
-_BLOCK = "block binary, step binary, code binary"
+_BLOCK = "block long, step binary, code binary"
 _DICTIONARY = "list array<struct<local:int,lang:string,word:string,left:long,right:long,n:long>>"
 
 
@@ -64,8 +64,9 @@ def _packed(position: np.ndarray, code: np.ndarray) -> tuple[bytes, bytes]:
 
 def _first_relation(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """R(1): a row per block of whole documents."""
-    import uuid
+    from pyspark import TaskContext
 
+    block = TaskContext.get().partitionId() << 32  # blocks are numbered by the task that cuts them
     for batch in batches:
         langs = batch.column(0).dictionary_encode()
         names = langs.dictionary.to_pylist()
@@ -86,17 +87,18 @@ def _first_relation(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 names=["local", "lang", "word", "left", "right", "n"],
             )
             step, codes = _packed(position, code)
-            yield _one_row(uuid.uuid4().bytes, step, codes, entries)
+            yield _one_row(block, step, codes, entries)
+            block += 1
 
 
-def _one_row(block: bytes, step: bytes, code: bytes, entries: pa.StructArray) -> pa.RecordBatch:
+def _one_row(block: int, step: bytes, code: bytes, entries: pa.StructArray) -> pa.RecordBatch:
     lists = pa.ListArray.from_arrays(pa.array([0, len(entries)], pa.int32()), entries)
-    return pa.RecordBatch.from_arrays([pa.array([block], pa.binary()), pa.array([step], pa.binary()), pa.array([code], pa.binary()), lists], names=["block", "step", "code", "list"])
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([step], pa.binary()), pa.array([code], pa.binary()), lists], names=["block", "step", "code", "list"])
 
 
 def _extended(left: pa.Table, right: pa.Table) -> pa.Table:
     """R(k+1) of one block: R(k), semi-joined by the known codes, merge-joined with itself at adjacent positions."""
-    schema = pa.schema([("block", pa.binary()), ("step", pa.binary()), ("code", pa.binary()), ("list", pa.list_(_ENTRY))])
+    schema = pa.schema([("block", pa.int64()), ("step", pa.binary()), ("code", pa.binary()), ("list", pa.list_(_ENTRY))])
     if not left.num_rows or not right.num_rows:
         return schema.empty_table()
     position = np.cumsum(np.frombuffer(left.column("step")[0].as_py(), "<i4").astype(np.int64))
