@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 from faultline.llm.shared import _WORDS, PLAIN_WORD, Words, id_or_least, mix, ship, spans_hash, text_chunks, written
 
 WINDOW = 20
-_ROW = "h long, ctx long, doc long, pack long"
-_FOUND = "kind int, doc long, pack long"
-# pack: 15 bits of the text's hash (tells texts apart that share an id), 32 of the start, 8 of windows - 1, 8 of the anchor's offset.
-_KEY, _START, _RUN = 48, 16, 8
+_ROW = "h long, ctx long, doc long, key long, pack long"
+_FOUND = "kind int, doc long, key long, pack long"
+# key: hash of the text (tells texts apart that share an id); pack: the start above 8 bits of windows - 1 and 8 of the anchor's offset.
+_START, _RUN = 16, 8
 
 
 def _runs(w: Words, window: int):
@@ -49,33 +49,33 @@ def _runs(w: Words, window: int):
     return half[anchor[at]], words, first, count, offset
 
 
-def _rows(h: np.ndarray, ctx: np.ndarray, doc: np.ndarray, pack: np.ndarray) -> pa.RecordBatch:
+def _rows(h: np.ndarray, ctx: np.ndarray, doc: np.ndarray, key: np.ndarray, pack: np.ndarray) -> pa.RecordBatch:
     """Rows of one batch with copies settled: of equal (h, ctx) the first is sent on, the rest is known to repeat."""
-    order = np.lexsort((pack, doc, ctx, h))
-    h, ctx, doc, pack = h[order], ctx[order], doc[order], pack[order]
+    order = np.lexsort((pack, key, doc, ctx, h))
+    h, ctx, doc, key, pack = h[order], ctx[order], doc[order], key[order], pack[order]
     lead = np.ones(len(h), bool)
     lead[1:] = (h[1:] != h[:-1]) | (ctx[1:] != ctx[:-1])
     first = np.maximum.accumulate(np.where(lead, np.arange(len(h)), 0)) if len(h) else np.zeros(0, np.int64)
-    same = (doc == doc[first]) & (pack == pack[first])  # a repeated row of one document: no place of its own
+    same = (doc == doc[first]) & (key == key[first]) & (pack == pack[first])  # a repeated row of one document: no place of its own
     keep = lead | ~same
     settled = ~lead
     h = np.where(settled, mix(doc.view(np.uint64) + np.uint64(1)), h)
     pack = np.where(settled, -1 - pack, pack)
-    return pa.RecordBatch.from_arrays([pa.array(x[keep].view(np.int64)) for x in (h, ctx, doc, pack)], names=["h", "ctx", "doc", "pack"])
+    return pa.RecordBatch.from_arrays([pa.array(x[keep].view(np.int64)) for x in (h, ctx, doc, key, pack)], names=["h", "ctx", "doc", "key", "pack"])
 
 
 def _first_pass(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs = batch.column(0).to_numpy()
-            keys = batch.column(1).to_numpy().astype(np.int64)
+            keys = batch.column(1).to_numpy()
             parts = []
             for row, n, data, offsets in text_chunks(batch.column(2)):
                 w = Words(data, offsets, PLAIN_WORD)
                 h, ctx, first, count, offset = _runs(w, window)
                 d = w.doc[first]
-                pack = (keys[row + d] << _KEY) | ((first - w.bounds[d]) << _START) | ((count - 1) << _RUN) | offset
-                parts.append((h, ctx, docs[row + d], pack))
+                pack = ((first - w.bounds[d]) << _START) | ((count - 1) << _RUN) | offset
+                parts.append((h, ctx, docs[row + d], keys[row + d], pack))
             if parts:
                 yield _rows(*(np.concatenate(c) for c in zip(*parts)))
 
@@ -87,7 +87,7 @@ def _second_pass(window: int):
 
     def run(batches):
         for batch in batches:
-            docs = batch.column(0).to_numpy()
+            docs, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             open_ = batch.column(3)
             cuts = open_.offsets.to_numpy()
             packs = open_.values.to_numpy()
@@ -100,11 +100,11 @@ def _second_pass(window: int):
                 count = ((p >> _RUN) & 255) + 1
                 step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                 p, d = np.repeat(p, count), np.repeat(d, count)
-                local = ((p >> _START) & 0xFFFFFFFF) + step
+                local = (p >> _START) + step
                 offset = (p & 255) - step
                 start = w.bounds[d] + local
-                pack = ((p >> _KEY) << _KEY) | (local << _START) | (offset & 255)
-                parts.append((spans_hash(w.hash, start, start + window, _WORDS), half[start + offset], docs[row + d], pack))
+                pack = (local << _START) | (offset & 255)
+                parts.append((spans_hash(w.hash, start, start + window, _WORDS), half[start + offset], docs[row + d], keys[row + d], pack))
             if parts:
                 yield _rows(*(np.concatenate(c) for c in zip(*parts)))
 
@@ -114,32 +114,32 @@ def _second_pass(window: int):
 def _settle(mixed: bool):
     """Stream over rows sorted by (h, ctx, doc, pack): kind 0 repeats an earlier place, kind 1 has to be extended."""
 
-    def out(kind, doc, pack):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), kind, np.int32)), pa.array(doc), pa.array(pack)], names=["kind", "doc", "pack"])
+    def out(kind, doc, key, pack):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), kind, np.int32)), pa.array(doc), pa.array(key), pa.array(pack)], names=["kind", "doc", "key", "pack"])
 
     def run(batches):
-        last = None  # (h, ctx, doc, pack) of the first place of the last (h, ctx)
+        last = None  # (h, ctx, doc, key, pack) of the first place of the last (h, ctx)
         several = False  # whether the last h has had more than one ctx
         for batch in batches:
-            h, ctx, doc, pack = (c.to_numpy() for c in batch.columns)
+            h, ctx, doc, key, pack = (c.to_numpy() for c in batch.columns)
             done = pack < 0
             if done.any():
-                yield out(0, doc[done], -1 - pack[done])
-                h, ctx, doc, pack = h[~done], ctx[~done], doc[~done], pack[~done]
+                yield out(0, doc[done], key[done], -1 - pack[done])
+                h, ctx, doc, key, pack = h[~done], ctx[~done], doc[~done], key[~done], pack[~done]
             n = len(h)
             if not n:
                 continue
             carried = last is not None
             if carried:
-                h, ctx, doc, pack = (np.concatenate([[a], b]) for a, b in zip(last, (h, ctx, doc, pack)))
+                h, ctx, doc, key, pack = (np.concatenate([[a], b]) for a, b in zip(last, (h, ctx, doc, key, pack)))
             lead_h = np.ones(len(h), bool)
             lead_h[1:] = h[1:] != h[:-1]
             lead = lead_h.copy()
             lead[1:] |= ctx[1:] != ctx[:-1]
             first = np.maximum.accumulate(np.where(lead, np.arange(len(h)), 0))
-            again = ~lead & ((doc != doc[first]) | (pack != pack[first]))
+            again = ~lead & ((doc != doc[first]) | (key != key[first]) | (pack != pack[first]))
             if again.any():
-                yield out(0, doc[again], pack[again])
+                yield out(0, doc[again], key[again], pack[again])
             if mixed:
                 group = np.cumsum(lead_h) - 1
                 kinds = np.bincount(group, weights=lead)
@@ -150,16 +150,16 @@ def _settle(mixed: bool):
                 if carried and several:
                     send[0] = False  # sent with its own batch
                 if send.any():
-                    yield out(1, doc[send], pack[send])
+                    yield out(1, doc[send], key[send], pack[send])
                 several = bool(many[-1])
             k = first[-1]
-            last = (h[k], ctx[k], doc[k], pack[k])
+            last = (h[k], ctx[k], doc[k], key[k], pack[k])
 
     return run
 
 
 def _settled(rows: DataFrame, mixed: bool) -> DataFrame:
-    ordered = rows.repartition("h").sortWithinPartitions("h", "ctx", "doc", "pack")
+    ordered = rows.repartition("h").sortWithinPartitions("h", "ctx", "doc", "key", "pack")
     return ordered.mapInArrow(_settle(mixed), _FOUND)
 
 
@@ -167,10 +167,10 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc, key, pack) of every run of windows whose words start earlier too; ``docs`` has doc, key, text."""
     found = written(_settled(docs.select("doc", "key", "text").mapInArrow(_first_pass(window), _ROW), True), "anchors")
     again = found.where("kind = 0")
-    still = found.where("kind = 1").groupBy("doc", F.shiftright("pack", _KEY).cast("int").alias("key")).agg(F.collect_list("pack").alias("open"))
+    still = found.where("kind = 1").groupBy("doc", "key").agg(F.collect_list("pack").alias("open"))
     widened = docs.join(still, ["doc", "key"]).select("doc", "key", "text", "open").mapInArrow(_second_pass(window), _ROW)
     deeper = written(_settled(widened, False), "windows")
-    return again.unionByName(deeper).select("doc", F.shiftright("pack", _KEY).cast("int").alias("key"), "pack")
+    return again.unionByName(deeper).select("doc", "key", "pack")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -188,7 +188,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     ship(docs.sparkSession)
     rows = docs.select(
         F.col("doc_id"), id_or_least().alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    ).withColumn("key", (F.xxhash64("text").bitwiseAND(F.lit(0x7FFF))).cast("int"))
+    ).withColumn("key", F.xxhash64("text"))
     runs = repeated_windows(rows, window).groupBy("doc", "key").agg(F.collect_list("pack").alias("runs"))
 
     def cut(batches):
@@ -204,7 +204,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     kept.append(b" ".join(words))
                     continue
                 p = lists[i].values.to_numpy()
-                start = (p >> _START) & 0xFFFFFFFF
+                start = p >> _START
                 edge = np.bincount(start, minlength=len(words) + 1) - np.bincount(start + ((p >> _RUN) & 255) + window, minlength=len(words) + 1)
                 stay = np.cumsum(edge)[:-1] == 0
                 n_removed.append(len(words) - int(stay.sum()))
