@@ -68,13 +68,17 @@ class LanguageModel:
         """Language and calibrated probability of each whole text; ``und`` and 0 for null or no letter."""
         lang, score = np.zeros(len(texts), np.int64), np.zeros(len(texts))
         for row, n, doc, bucket in subwords(texts):
-            total = np.maximum(np.bincount(doc, minlength=n), 1)
-            z = np.stack([np.bincount(doc, self.table[:, c][bucket], n) / total + self.bias[c] for c in range(len(self.languages))], axis=1)
-            p = softmax(z / self.temperature)
+            p = self.probabilities(n, doc, bucket)
             lang[row : row + n], score[row : row + n] = p.argmax(axis=1), p.max(axis=1)
         letters = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
         return [self.languages[i] if ok else UNKNOWN for i, ok in zip(lang, letters)], np.where(letters, score, 0.0)
 
+    def probabilities(self, n: int, doc: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+        """Calibrated probabilities of ``n`` texts from their subwords: table rows are summed, never spread over all buckets."""
+        total = np.maximum(np.bincount(doc, minlength=n), 1)
+        z = np.stack([np.bincount(doc, self.table[:, c][bucket], n) / total + self.bias[c] for c in range(len(self.languages))], axis=1)
+        return softmax(z / self.temperature)
+
 
 def softmax(z: np.ndarray) -> np.ndarray:
     z = np.exp(z - z.max(axis=1, keepdims=True))

@@ -88,7 +88,8 @@ def test_language_model_rejects_by_calibration():
     x[y == 0, :50] += 3
     x[y == 1, 50:100] += 3
     m = language_id.fit([(np.flatnonzero(r), r[r > 0]) for r in x], y, ["a", "b"])
-    p = m.probabilities(x)
+    doc, bucket = (np.repeat(i, x[x > 0]) for i in np.nonzero(x))
+    p = m.probabilities(len(x), doc, bucket)
     assert (p.argmax(axis=1) == y).mean() > 0.97 and 0 < m.threshold <= 0.5
 
 
