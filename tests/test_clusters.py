@@ -147,3 +147,21 @@ def test_quantiles_take_one_path_at_every_size(spark, n, mode):
         k = int(np.floor(pos))
         want = s[int(np.floor(pos + 0.5))] if mode == "nearest" else s[k] + (s[min(k + 1, n - 1)] - s[k]) * (pos - k)
         assert abs(got[name] - want) < 1e-9, (n, p)
+
+
+def test_quantiles_of_nothing(spark):
+    from faultline.functions.quantiles import long_quantiles
+
+    none = spark.createDataFrame([], "k string, value double")
+    assert long_quantiles(none, [], {"q": 0.5}).collect()[0].q is None and long_quantiles(none, ["k"], {"q": 0.5}).collect() == []
+    nulls = spark.createDataFrame([("a", None), ("b", 1.0), ("b", 2.0)], "k string, value double")
+    assert {r.k: r.q for r in long_quantiles(nulls, ["k"], {"q": 0.5}).collect()} == {"b": 1.5}
+
+
+def test_post_filter_without_clusters(spark):
+    from faultline.operators.propagation import post_filter
+
+    rows = spark.createDataFrame([("w1", -1, True, 0.0), ("w2", -1, True, 0.0)], "window_id string, cluster_id int, noise boolean, cluster_strength double")
+    scores = spark.createDataFrame([("w1", 0.4), ("w2", 0.5)], "window_id string, iforest_score_mean double")
+    got = post_filter(rows, scores, threshold=0.3).collect()
+    assert [(r.cluster_id, r.noise, r.cluster_strength, r.post_filter_threshold, r.post_filter_policy, r.post_filter_passed) for r in got] == [(-1, True, 0.0, 0.3, "fixed_threshold", True)] * 2

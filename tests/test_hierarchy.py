@@ -129,19 +129,39 @@ def frame(spark, ids, x):
     return spark.createDataFrame([(i, *map(float, r)) for i, r in zip(ids, x)], "id long, " + ", ".join(f"{c} double" for c in cols)).repartition(3), cols
 
 
-@pytest.mark.parametrize("seed, n, d, m, k, copies, spread_out", [(1, 120, 2, 5, 3, 0, False), (2, 90, 6, 4, 4, 12, True), (3, 60, 40, 6, 2, 0, True), (4, 40, 1, 3, 1, 20, False)])
-def test_equal_to_the_sequential_version(spark, seed, n, d, m, k, copies, spread_out):
+@pytest.mark.parametrize("seed, n, d, m, k, copies", [(1, 120, 2, 5, 3, 0), (2, 90, 6, 4, 4, 12), (3, 60, 40, 6, 2, 0)])
+def test_equal_to_the_sequential_version(spark, seed, n, d, m, k, copies):
     ids, x = blobs(seed, n, d, copies=copies)
     df, cols = frame(spark, ids, x)
-    how = {"direct": 0, "band": 16} if spread_out else {}
-    tree = H.build_tree(df, cols, min_cluster_size=m, min_samples=k, **how)
-    found = H.select_clusters(tree, CASES, **({"band": 2} if spread_out else {})).collect()
+    tree = H.build_tree(df, cols, min_cluster_size=m, min_samples=k)
+    found = H.select_clusters(tree, CASES).collect()
     got = {(r.case_name, r.id): (r.cluster_id, r.noise, r.cluster_strength) for r in found}
     want = brute(ids, x, m, k, CASES)
     assert len(got) == len(found) == len(want)
     wrong = {key: (got[key], want[key]) for key in want if got[key][:2] != want[key][:2] or abs(got[key][2] - want[key][2]) > 2e-6}
     assert not wrong
     assert len({c for (name, _), (c, _, _) in want.items() if name == "leaf"}) > 2
+    if seed == 1:  # the condensed tree read in slices of two clusters
+        sliced = H.select_clusters(tree, CASES, band=2).collect()
+        assert {(r.case_name, r.id): (r.cluster_id, r.noise, r.cluster_strength) for r in sliced} == got
+
+
+def test_rounds_give_the_same_spanning_tree(spark):
+    ids, x = blobs(2, 50, 3, copies=6)
+    df, cols = frame(spark, ids, x)
+    points = H.points_of(df, cols, "id").cache()
+    whole, rounds = (sorted(map(tuple, H.spanning_tree(points, min_samples=3, direct=n).collect())) for n in (1000, 0))
+    assert whole == rounds and len(whole) == 55
+
+
+def test_bands_merge_alike(spark):
+    ids, x = blobs(5, 45, 2)
+    df, cols = frame(spark, ids, x)
+    tree = sorted(H.spanning_tree(H.points_of(df, cols, "id"), min_samples=2).collect(), key=lambda e: e.w)
+    edges = spark.createDataFrame([(r, e.a, e.b, r if r % 5 == 0 else None) for r, e in enumerate(tree)], "rank long, u long, v long, mark long")
+    nodes = spark.createDataFrame([(i, 1, None) for i in ids], "node long, size long, mark long")
+    one, many = (sorted(map(tuple, H.merge_events(edges, nodes, band=b).select("rank", "size_u", "size_v", "mark_u", "mark_v").collect())) for b in (1000, 15))
+    assert one == many and len(one) == 44
 
 
 def test_few_rows(spark):
