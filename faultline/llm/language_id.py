@@ -26,7 +26,7 @@ REJECT_SHARE = 0.0005
 
 def subwords(texts: pa.Array):
     """(first row, rows, document and bucket of each hashed byte n-gram) in chunks; n-grams that start and end in spaces are left out."""
-    for row, n, data, offsets in text_chunks(texts, 1 << 20):
+    for row, n, data, offsets in text_chunks(texts, 1 << 18):
         code = _LETTER[data].astype(np.uint32)
         doc = np.repeat(np.arange(n, dtype=np.int32), np.diff(offsets))
         docs, buckets = [], []
