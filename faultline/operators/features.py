@@ -30,6 +30,8 @@ EMA_ALPHA = 0.3
 TRAFFIC_POINTS = 6
 VELOCITY_POINTS = 4
 _TAIL = max(TRAFFIC_POINTS, VELOCITY_POINTS)
+# Spark cuts a ranking before its shuffle up to this many rows a key.
+NEWEST = 1_000
 _SHORT_APIS = tuple(C.SHORT_NAME[s] for s in C.API_SERVICES)
 
 
@@ -38,6 +40,11 @@ def _exact_depth(alpha: float) -> int:
     return math.ceil((308.3 * math.log(10) + 12 * math.log(10)) / -math.log(1.0 - alpha))
 
 
+def _plain_limit(alpha: float) -> float:
+    """Largest value that ``NEWEST`` places make lighter than 1e-12."""
+    return 10.0 ** min(300.0, -NEWEST * math.log10(1.0 - alpha) - 12)
+
+
 def trailing_features(
     events: DataFrame,
     policy: WindowingPolicy,
@@ -48,16 +55,27 @@ def trailing_features(
     """Per window: error-rate moving average and slope, throughput pressure and stress.
 
     A reading more than ``_exact_depth`` places from the end of its pane has a
-    weight so small that no finite value can move the result, so ranking stops
-    there and Spark drops earlier readings before the shuffle.
+    weight so small that no finite value can move the result.  Unless a pane
+    holds a value beyond ``_plain_limit``, ``NEWEST`` places are as good, and a
+    ranking that stops there is cut by every task before the shuffle, which so
+    carries at most ``NEWEST`` readings of a pane from each task.
     """
     span = time_span(events) if span is None else span
     wanted = F.col("service_name").isin(*C.API_SERVICES) & F.col("metric_name").isin("error_rate", "throughput")
     placed = with_panes(events.where(wanted), policy, span)
     key = ["pane", "service_name", "metric_name"]
     newest = W.partitionBy(*key).orderBy(F.desc("offset_us"), F.desc("sequence_number"), F.desc("event_id"))
-    depth = _exact_depth(alpha)
-    recent = placed.withColumn("rn", F.row_number().over(newest)).where(F.col("rn") <= depth)
+
+    def last(rows: DataFrame, depth: int) -> DataFrame:
+        return rows.withColumn("rn", F.row_number().over(newest)).where(F.col("rn") <= depth)
+
+    exact = _exact_depth(alpha)
+    if exact <= NEWEST:
+        recent = last(placed, exact)
+    else:
+        # Panes with huge values, of which there should be none, are ranked in full.
+        huge = placed.where(F.abs("metric_value") > _plain_limit(alpha)).select(*key).distinct()
+        recent = last(placed, NEWEST).join(huge, key, "left_anti").unionByName(last(placed.join(huge, key, "left_semi"), exact))
     keep = F.pow(F.lit(1.0 - alpha), F.col("rn") - 1)
     point = F.struct("offset_us", "sequence_number", "event_id", F.col("metric_value").alias("v"))
     ends = recent.groupBy(*key).agg(

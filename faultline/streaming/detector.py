@@ -1,17 +1,17 @@
 """Detector and correlation on streams: the batch column logic plus keyed state.
 
 State per key is a few dozen flags, or three latest signals.  Rows of one
-micro-batch are put in arrival order inside each key; bound the batch with the
-source's per-trigger limit and, when a service is busy, key by
-``(source_node, service_name)`` so that the work spreads over nodes.
+micro-batch are put in arrival order inside each key and decided as arrays; bound
+the batch with the source's per-trigger limit.  Where each node is a system of
+its own, ``keys=("source_node", "service_name")`` spreads a busy service over
+the nodes that report it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
 
-import hashlib
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,9 +24,21 @@ from faultline.operators.detector import BUFFER, buffer_size, candidate_flags, w
 from faultline.operators.incidents import incidents
 
 
-def _arrival(pdf: pd.DataFrame) -> pd.DataFrame:
-    tie = pdf["event_id"].map(lambda e: hashlib.md5(e.encode()).hexdigest())
-    return pdf.assign(_tie=tie).sort_values(["generated_at", "_tie", "event_id"]).drop(columns="_tie")
+def _arrival(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """All rows of a key in arrival order; ``_tie`` was hashed before the shuffle."""
+    return pd.concat(list(batches), ignore_index=True).sort_values(["generated_at", "_tie", "event_id"], ignore_index=True).drop(columns="_tie")
+
+
+def trailing_counts(flags: np.ndarray, width: int) -> np.ndarray:
+    """Set flags among the last ``width`` places up to each place."""
+    total = np.concatenate([[0], np.cumsum(flags)])
+    end = np.arange(1, len(flags) + 1)
+    return total[end] - total[np.maximum(end - width, 0)]
+
+
+def carried_last(places: np.ndarray) -> np.ndarray:
+    """The greatest place so far: places only grow, so it is the latest one named."""
+    return np.maximum.accumulate(places)
 
 
 def stream_signals(
@@ -37,7 +49,7 @@ def stream_signals(
     buffer: int = BUFFER,
     keys: Sequence[str] = ("service_name",),
 ) -> DataFrame:
-    """Detector signals on a stream of scored rows."""
+    """Detector signals on a stream of scored rows, with one buffer of flags per key."""
     limit = buffer_size(min_flag_window, buffer)
     rows = candidate_flags(scored, thresholds)
     extra = [
@@ -50,21 +62,18 @@ def stream_signals(
     names = [f.name for f in out_schema.fields]
 
     def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        flags = list(state.get[0]) if state.exists else []
-        pdf = _arrival(pd.concat(list(batches), ignore_index=True))
-        fill, size, share, hit = [], [], [], []
-        for candidate in pdf["candidate_flag"]:
-            flags.append("1" if candidate else "0")
-            flags = flags[-limit:]
-            last = flags[-min_flag_window:]
-            fill.append(len(last))
-            size.append(len(flags))
-            share.append(flags.count("1") / len(flags))
-            hit.append(len(last) >= min_flag_window and "0" not in last)
-        state.update(("".join(flags),))
+        before = np.frombuffer(state.get[0].encode(), np.uint8) - ord("0") if state.exists else np.zeros(0, np.uint8)
+        pdf = _arrival(batches)
+        flags = np.concatenate([before, pdf["candidate_flag"].fillna(False).to_numpy(dtype=np.uint8)]).astype(np.int64)
+        new = slice(len(before), None)
+        seen = np.arange(1, len(flags) + 1)[new]
+        fill, size = np.minimum(seen, min_flag_window), np.minimum(seen, limit)
+        share = trailing_counts(flags, limit)[new] / size
+        hit = trailing_counts(flags, min_flag_window)[new] == min_flag_window
+        state.update(("".join(map(str, flags[-limit:])),))
         yield pdf.assign(window_fill=fill, window_size=size, service_candidate_rate=share, anomaly_flag=hit)[names]
 
-    kept = rows.groupBy(*keys).applyInPandasWithState(step, out_schema, "flags string", "append", GroupStateTimeout.NoTimeout)
+    kept = rows.withColumn("_tie", F.md5("event_id")).groupBy(*keys).applyInPandasWithState(step, out_schema, "flags string", "append", GroupStateTimeout.NoTimeout)
     return with_decision(kept, min_flag_window)
 
 
@@ -94,20 +103,23 @@ def stream_snapshots(signals: DataFrame, *, scope: str = "source_node") -> DataF
         "unix_micros(generated_at) as generated_us, queue_length, event_id))"
     )
     rows = signals.where(F.col("service_name").isin(*C.API_SERVICES)).select(
-        scope, "event_id", "generated_at", "service_name", F.expr(text).alias("_snap")
+        scope, "event_id", "generated_at", "service_name", F.expr(text).alias("_snap"), F.md5("event_id").alias("_tie")
     )
     out_schema = T.StructType([T.StructField("event_id", T.StringType()), *[T.StructField(c, T.StringType()) for c in SNAP.values()]])
     order = list(C.API_SERVICES)
 
     def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        latest = list(state.get) if state.exists else [None] * len(order)
-        pdf = _arrival(pd.concat(list(batches), ignore_index=True))
-        out = []
-        for event_id, service, snap in zip(pdf["event_id"], pdf["service_name"], pdf["_snap"]):
-            latest[order.index(service)] = snap
-            out.append((event_id, *latest))
-        state.update(tuple(latest))
-        yield pd.DataFrame(out, columns=["event_id", *SNAP.values()])
+        before = list(state.get) if state.exists else [None] * len(order)
+        pdf = _arrival(batches)
+        # The carried snapshots stand at places 0..; row r of the batch at len(order) + r.
+        snaps = np.array([*before, *pdf["_snap"]], dtype=object)
+        at = np.arange(len(pdf)) + len(order)
+        out = {"event_id": pdf["event_id"]}
+        for i, (service, column) in enumerate(zip(order, SNAP.values())):
+            out[column] = snaps[carried_last(np.where(pdf["service_name"] == service, at, i))]
+        frame = pd.DataFrame(out)
+        state.update(tuple(frame.iloc[-1, 1:]))
+        yield frame
 
     state_schema = ", ".join(f"{c} string" for c in SNAP.values())
     kept = rows.groupBy(scope).applyInPandasWithState(step, out_schema, state_schema, "append", GroupStateTimeout.NoTimeout)

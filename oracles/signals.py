@@ -163,4 +163,5 @@ ORACLES = {
 
 # The streams must give what the batch forms give.
 ORACLES["streamed_signals"] = ORACLES["detector_signals"]
+ORACLES["streamed_signals_by_node"] = ORACLES["detector_signals"].replace("partition by service_name", "partition by source_node, service_name")
 ORACLES["streamed_enriched"] = ORACLES["enriched_events"]

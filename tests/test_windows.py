@@ -75,6 +75,26 @@ def test_moving_average(spark):
     assert row.degradation_intensity_payments == pytest.approx(1.81)
 
 
+def test_trailing_ranks_are_cut_before_the_shuffle(spark, monkeypatch):
+    """With few kept places, plain panes and panes of huge values both give the full average."""
+    from faultline.operators import features as FT
+
+    rng = random.Random(3)
+    rows = [(i * 0.05, i, s, "error_rate", rng.random() * (1e40 if s == "orders-api" and i == 2 else 1)) for i in range(1_100) for s in ("payments-api", "orders-api")]
+    ev = events(spark, rows)
+    policy = W.WindowingPolicy()
+    monkeypatch.setattr(FT, "NEWEST", 10_000)
+    want = sorted(map(tuple, trailing_features(ev, policy).collect()))
+    monkeypatch.setattr(FT, "NEWEST", 300)
+    got = trailing_features(ev, policy)
+    assert sorted(map(tuple, got.collect())) == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Partial" in plan and "WindowGroupLimit" in plan
+    assert FT._plain_limit(FT.EMA_ALPHA) < 1e40
+    empty = trailing_features(ev.limit(0), policy, span=W.time_span(ev))
+    assert empty.count() == 0
+
+
 def test_recovery_memory_counts_from_last_clean(spark):
     rows = [(60 * i, i, "payments-api", "error_rate", 0.5 if i in (2, 3) else 0.01) for i in range(7)]
     policy = W.WindowingPolicy(length_s=60, stride_s=60, tolerance_s=0)
