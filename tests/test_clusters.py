@@ -113,6 +113,39 @@ def test_density_in_many_dimensions(spark, monkeypatch, d, tile):
     assert len(set(want)) > 2
 
 
+@pytest.mark.parametrize("d,eps,m,by", [(5, 0.7, 3, False), (17, 0.9, 5, True)])
+def test_density_by_pivots(spark, monkeypatch, d, eps, m, by):
+    """Above the size of one task, groups included: the sequential labels."""
+    monkeypatch.setattr(D, "DIRECT", 10)
+    rng = np.random.default_rng(d)
+    rows, want = [], {}
+    for g in ("a", "b") if by else ("a",):
+        pts = np.vstack([rng.normal(c, 0.12, (60, d)) for c in (0, 0.45, 3)] + [rng.uniform(-1, 3, (30, d))])
+        pts[50:56] = pts[50]
+        want[g] = sequential(pts, eps, m)
+        rows += [(g, i, *map(float, p)) for i, p in enumerate(pts)]
+    cols = [f"x{i}" for i in range(d)]
+    df = spark.createDataFrame(rows, "g string, id long, " + ", ".join(f"{c} double" for c in cols))
+    got = D.density_clusters(df, cols, eps=eps, min_samples=m, by=["g"] if by else []).orderBy("g", "id").collect()
+    assert {g: [r.cluster_id for r in got if r.g == g] for g in want} == want
+    assert all(len(set(w)) > 2 for w in want.values())
+    assert D.density_clusters(df.limit(0), cols, eps=eps, min_samples=m).count() == 0
+
+
+def test_pivots_spare_most_pairs(spark):
+    """Thirty groups on 64 axes: core points found with under 15 % of all pairs compared."""
+    from faultline.operators import neighbours as NB
+
+    rng = np.random.default_rng(1)
+    pts = np.vstack([rng.normal(c, 0.02, (100, 64)) for c in rng.uniform(0, 1, (30, 64))])
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(pts)], "id long, v array<double>")
+    index = NB.Index(df, block_rows=16)
+    got = {r.id for r in index.cores_within(0.23, 40).select("id").collect()}
+    near = NB.within(pts, pts, 0.23).sum(axis=1)
+    assert got == set(np.flatnonzero(near >= 40).tolist()) and 0 < len(got) < len(pts)
+    assert index.compared(index.asks) < 0.15 * len(pts) ** 2
+
+
 def test_density_writes_no_pair_list(spark, monkeypatch):
     """A crowded ball of n points: every written table has at most a few rows per point."""
     n, d = 300, 17
