@@ -7,11 +7,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.shared import _WORDS, ALNUM_WORD, FOLD_ASCII, Words, ship, sliding_least, spans_hash, text_chunks
+from faultline.llm.shared import _WORDS, ALNUM_WORD, FOLD_ASCII, Words, mix, ship, sliding_least, spans_hash, text_chunks, written
 
 WINDOW, GRAM = 13, 5
-BLOCK_WINDOWS = 2_000_000  # benchmark windows held at once, some 50 MB
+BLOCK_WINDOWS = 2_000_000  # largest benchmark, in windows, that travels to the tasks: some 50 MB
 SPANS = "array<struct<start:int,end:int>>"
+SPAN_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+SALTS = 16  # places of one fingerprint: copies of a text are one key, but many texts may share a passage
 
 
 def _winnowed(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -87,13 +89,24 @@ def _hits(w: Words, block: _Block):
     return out
 
 
-def _mark(block, carry: int, first: bool, text_at: int):
+def _merged(spans) -> list[dict[str, int]]:
+    """Ranges of words with overlapping and touching ones joined."""
+    joined: list[list[int]] = []
+    for start, end in sorted(spans):
+        if joined and start <= joined[-1][1]:
+            joined[-1][1] = max(joined[-1][1], end)
+        else:
+            joined.append([start, end])
+    return [{"start": a, "end": e} for a, e in joined]
+
+
+def _mark(block, carry: int, text_at: int):
     def run(batches):
         b = block.value
         for batch in batches:
             n_rows = batch.num_rows
-            spans = [[] for _ in range(n_rows)] if first else [[(s["start"], s["end"]) for s in v] for v in batch.column(carry).to_pylist()]
-            items = [set() for _ in range(n_rows)] if first else [set(v) for v in batch.column(carry + 1).to_pylist()]
+            spans: list[list] = [[] for _ in range(n_rows)]
+            items: list[set] = [set() for _ in range(n_rows)]
             n_words = np.zeros(n_rows, np.int64)
             for row, n, data, offsets in text_chunks(batch.column(text_at)):
                 w = Words(data, offsets, ALNUM_WORD, FOLD_ASCII)
@@ -110,48 +123,132 @@ def _mark(block, carry: int, first: bool, text_at: int):
                         for c in np.unique(at[lo:hi]):
                             mine = slice(cuts[c], cuts[c + 1])
                             items[k].update(names[mine][known[mine]].tolist())
-            merged = []
-            for s in spans:
-                joined: list[list[int]] = []
-                for start, end in sorted(s):
-                    if joined and start <= joined[-1][1]:
-                        joined[-1][1] = max(joined[-1][1], end)
-                    else:
-                        joined.append([start, end])
-                merged.append([{"start": a, "end": e} for a, e in joined])
-            span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            new = [pa.array(merged, span_type), pa.array([sorted(i) for i in items], pa.list_(pa.int64())), pa.array(n_words)]
+            merged = [_merged(s) for s in spans]
+            new = [pa.array(merged, SPAN_TYPE), pa.array([sorted(i) for i in items], pa.list_(pa.int64())), pa.array(n_words)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:carry], *new], names=[*batch.schema.names[:carry], "_hit_spans", "_hit_items", "_n_words"])
 
     return run
 
 
+def _fingerprints(short: list[int]):
+    """(k, k2, size, code) of every text: its winnowed grams, and its windows of the sizes of short items."""
+
+    def run(batches):
+        for batch in batches:
+            for row, _, data, offsets in text_chunks(batch.column(2)):
+                w = Words(data, offsets, ALNUM_WORD, FOLD_ASCII)
+                starts, _, gram = _winnowed(w)
+                found = [(WINDOW, w.doc[starts], gram)]
+                for size in short:
+                    starts = np.flatnonzero(w.left >= size)
+                    found.append((size, w.doc[starts], spans_hash(w.hash, starts, starts + size, _WORDS)))
+                for size, doc, code in found:
+                    order = np.lexsort((code, doc))
+                    doc, code = doc[order], code[order]
+                    new = np.ones(len(doc), bool)
+                    new[1:] = (doc[1:] != doc[:-1]) | (code[1:] != code[:-1])
+                    at = pa.array(row + doc[new])
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(at), batch.column(1).take(at), pa.array(np.full(new.sum(), size, np.int32)), pa.array(code[new].view(np.int64))],
+                        names=["k", "k2", "size", "code"],
+                    )
+
+    return run
+
+
+def _met_windows(batches):
+    """(k, k2, start, size, whole) of the windows whose fingerprints the benchmark has too."""
+    for batch in batches:
+        lists = batch.column(3)
+        cuts, open_ = lists.offsets.to_numpy(), lists.values
+        sizes, codes = open_.field("size").to_numpy(), open_.field("code").to_numpy().view(np.uint64)
+        for row, n, data, offsets in text_chunks(batch.column(2)):
+            w = Words(data, offsets, ALNUM_WORD, FOLD_ASCII)
+            mine = slice(cuts[row], cuts[row + n])
+            of = np.repeat(np.arange(n, dtype=np.uint64), np.diff(cuts[row : row + n + 1]))
+            for size in np.unique(sizes[mine]):
+                if size == WINDOW:
+                    starts, _, code = _winnowed(w)
+                else:
+                    starts = np.flatnonzero(w.left >= size)
+                    code = spans_hash(w.hash, starts, starts + size, _WORDS)
+                here = sizes[mine] == size
+                wanted = mix(codes[mine][here] ^ mix(of[here] + np.uint64(1)))
+                near = np.isin(mix(code ^ mix(w.doc[starts].astype(np.uint64) + np.uint64(1))), wanted)
+                starts = starts[near]
+                doc = w.doc[starts]
+                at = pa.array(row + doc)
+                whole = spans_hash(w.hash, starts, starts + size, _WORDS)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(at), batch.column(1).take(at), pa.array((starts - w.bounds[doc]).astype(np.int32)),
+                     pa.array(np.full(len(doc), size, np.int32)), pa.array(whole.view(np.int64))],
+                    names=["k", "k2", "start", "size", "whole"],
+                )
+
+
+def _noted(carry: int, text_at: int):
+    """Words counted, spans merged, items sorted; the last two columns are the spans and items found."""
+
+    def run(batches):
+        for batch in batches:
+            n_words = np.zeros(batch.num_rows, np.int64)
+            for row, n, data, offsets in text_chunks(batch.column(text_at)):
+                n_words[row : row + n] = Words(data, offsets, ALNUM_WORD, FOLD_ASCII).counts
+            spans = [_merged((s["start"], s["end"]) for s in v or ()) for v in batch.column(carry).to_pylist()]
+            items = [sorted(v or ()) for v in batch.column(carry + 1).to_pylist()]
+            new = [pa.array(spans, SPAN_TYPE), pa.array(items, pa.list_(pa.int64())), pa.array(n_words)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:carry], *new], names=[*batch.schema.names[:carry], "_hit_spans", "_hit_items", "_n_words"])
+
+    return run
+
+
+def _found_by_join(rows: DataFrame, windows: DataFrame) -> DataFrame:
+    """(k, k2, spans, items) per text that has hits; a text is known by two hashes, so its copies are one.
+
+    Fingerprints of texts and benchmark are joined first, then the whole windows
+    of the few texts that share one.
+    """
+    keyed = rows.selectExpr("xxhash64(text) as k", "xxhash64(1, text) as k2", "text")
+    short = [r["size"] for r in windows.where(F.col("size") < WINDOW).select("size").distinct().collect()]  # at most 12 rows
+    codes = windows.selectExpr("size", f"case when size = {WINDOW} then gram else whole end as code").distinct()
+    codes = codes.withColumn("salt", F.expr(f"explode(sequence(0, {SALTS - 1}))"))
+    prints = keyed.mapInArrow(_fingerprints(short), "k long, k2 long, size int, code long")
+    prints = prints.withColumn("salt", F.expr(f"cast(pmod(k, {SALTS}) as int)"))
+    met = prints.join(codes, ["size", "code", "salt"], "left_semi").groupBy("k", "k2").agg(F.collect_set(F.struct("size", "code")).alias("open"))
+    asked = keyed.join(written(met, "fingerprints"), ["k", "k2"]).select("k", "k2", "text", "open")
+    found = written(asked.mapInArrow(_met_windows, "k long, k2 long, start int, size int, whole long").distinct(), "windows")
+    hits = found.join(windows.select("size", "whole", "item_id"), ["size", "whole"])
+    return hits.groupBy("k", "k2").agg(
+        F.expr("collect_set(struct(start, start + size as end))").alias("spans"), F.collect_set("item_id").alias("items"))
+
+
 def mark(docs: DataFrame, benchmark: DataFrame, *, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """The rows of ``docs`` with ``_hit_spans`` (merged word ranges), ``_hit_items`` and ``_n_words``.
 
     Every document word inside an occurrence of a benchmark window is hit.  The
-    benchmark is counted first and taken in blocks of ``block_windows`` windows
-    by hash; each block passes over the documents in the same stage, without a
-    shuffle.  Null text has no words; an item without words has no window; an
-    item with a null id hits but is not listed.  Columns of these names in
-    ``docs`` are replaced.  Documents are never grouped, so repeated ids, ties
-    and null ids need no rule.  An empty benchmark hits nothing.
+    benchmark's windows are counted first: up to ``block_windows`` they travel to
+    the tasks and no document is shuffled; beyond, fingerprints and windows are
+    joined by shuffles and nothing reaches the driver.  Both give the same rows.
+    Null text has no words; an item without words has no window; an item with a
+    null id hits but is not listed.  Columns of these names, and ``_hit_key``
+    and ``_hit_key2``, are replaced in ``docs``.  Rows are never merged, so
+    repeated ids, ties and null ids need no rule.  An empty benchmark hits nothing.
     """
     spark = docs.sparkSession
     ship(spark)
-    rows = docs.drop("_hit_spans", "_hit_items", "_n_words")
+    rows = docs.drop("_hit_spans", "_hit_items", "_n_words", "_hit_key", "_hit_key2")
     windows = benchmark_windows(benchmark)
-    total = windows.count()
-    blocks = max(1, -(-total // block_windows))
     carry, text_at = len(rows.columns), rows.columns.index("text")
-    for k in range(blocks):
-        mine = windows if blocks == 1 else windows.where(F.pmod("whole", F.lit(blocks)) == k)
-        shared = spark.sparkContext.broadcast(_Block(mine.toArrow()))  # at most about block_windows rows
-        plain = rows.columns[:carry]
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:carry])
-        head = rows.select(*[F.col(f"`{c}`") for c in plain], *([] if k == 0 else [F.col("_hit_spans"), F.col("_hit_items")]))
-        rows = head.mapInArrow(_mark(shared, carry, k == 0, text_at), f"{schema}, _hit_spans {SPANS}, _hit_items array<bigint>, _n_words long")
-    return rows
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    schema = f"{schema}, _hit_spans {SPANS}, _hit_items array<bigint>, _n_words long"
+    if windows.count() <= block_windows:
+        shared = spark.sparkContext.broadcast(_Block(windows.toArrow()))  # at most block_windows rows
+        return rows.mapInArrow(_mark(shared, carry, text_at), schema)
+    found = _found_by_join(rows.select(F.col("text").cast("string").alias("text")), written(windows, "benchmark"))
+    found = found.selectExpr("k as _hit_key", "k2 as _hit_key2", "spans as _hit_spans", "items as _hit_items")
+    keyed = rows.withColumns({"_hit_key": F.expr("xxhash64(cast(text as string))"), "_hit_key2": F.expr("xxhash64(1, cast(text as string))")})
+    joined = keyed.join(found, ["_hit_key", "_hit_key2"], "left").select(*[F.col(f"`{c}`") for c in rows.columns], "_hit_spans", "_hit_items")
+    return joined.mapInArrow(_noted(carry, text_at), schema)
 
 
 def n_hit() -> Column:
