@@ -12,7 +12,7 @@ from faultline.llm.shared import NULL_ID, PLAIN_WORD, Words, id_or_least, mix, s
 from faultline.llm.tokens import default_vocabulary, encoder, text_slices
 
 BUCKETS, AXES, BITS = 256, 3, 10
-OUT_IDS = 2 << 20
+OUT_IDS = 1 << 19
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, sequence_length long, ids binary"
 #: Fixed signs that take a hashed vector of BUCKETS counts to AXES coordinates.
 _PROJECTION = np.where(mix(np.arange(1, BUCKETS * AXES + 1, dtype=np.uint64)) >> np.uint64(63), 1.0, -1.0).reshape(BUCKETS, AXES)
