@@ -198,3 +198,50 @@ def test_post_filter_without_clusters(spark):
     scores = spark.createDataFrame([("w1", 0.4), ("w2", 0.5)], "window_id string, iforest_score_mean double")
     got = post_filter(rows, scores, threshold=0.3).collect()
     assert [(r.cluster_id, r.noise, r.cluster_strength, r.post_filter_threshold, r.post_filter_policy, r.post_filter_passed) for r in got] == [(-1, True, 0.0, 0.3, "fixed_threshold", True)] * 2
+
+
+def test_reach_is_met_in_tiles(spark, monkeypatch):
+    """Points without groups, where nearly all blocks are asked: no row per (point, block), right counts and labels over many tiles."""
+    from faultline.operators import neighbours as NB
+
+    monkeypatch.setattr(NB, "TILE_ROWS", 120)
+    pts = np.random.default_rng(4).normal(0, 1, (700, 20))
+    pts[:40] = pts[0]
+    gaps = np.sqrt(((pts[:, None] - pts[None]) ** 2).sum(axis=2))
+    eps = float(np.median(gaps))
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(pts)], "id long, v array<double>")
+    index = NB.Index(df, pivots=5, block_rows=8)
+    sent = []
+    real = NB.Index._met_in_tiles
+
+    def spied(self, asking, columns, types, choose, members, b, *rest):
+        sent.append((asking.count(), int(self._tiles(b)[1].max()) + 1))
+        return real(self, asking, columns, types, choose, members, b, *rest)
+
+    monkeypatch.setattr(NB.Index, "_met_in_tiles", spied)
+    m = 350
+    core = index.cores_within(eps, m).cache()
+    near = NB.within(pts, pts, eps)
+    assert {r.id for r in core.collect()} == set(np.flatnonzero(near.sum(axis=1) >= m).tolist())
+    assert index.asks.count() > 20 * len(pts) and sent[0][1] < 10  # blocks asked against tiles sent to
+    named = core.selectExpr("*", "(id * 7) % 1000 as label")
+    got = {r.id: r.least for r in index.least_label_within(named, named, eps, other=True).collect()}
+    ids = np.array(sorted(r.id for r in core.collect()))
+    label = ids * 7 % 1000
+    want = {int(i): min((int(b) for j, b in zip(ids, label) if near[i, j] and b != a), default=None) for i, a in zip(ids, label)}
+    assert got == {k: v for k, v in want.items() if v is not None}
+
+
+def test_reach_at_its_edge():
+    """Grid points at exactly the distance, equal points, huge and missing values: as summed axis by axis."""
+    from faultline.operators import neighbours as NB
+
+    rng = np.random.default_rng(2)
+    x = np.vstack([rng.integers(0, 4, (80, 5)) * 0.1, [[1e200] * 5] * 2, [[np.nan] * 5], [[np.inf] * 5], rng.normal(1e6, 0.1, (20, 5))])
+    with np.errstate(all="ignore"):
+        for eps in (0.1, 0.2, 0.3, 0.0, float(np.sqrt(0.02))):
+            total = np.zeros((len(x), len(x)))
+            for i in range(5):
+                gap = x[:, i, None] - x[None, :, i]
+                total += gap * gap
+            assert (NB.within(x, x, eps) == (np.sqrt(total) <= eps)).all()
