@@ -7,14 +7,13 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.session import ensure_checkpoint_dir
+from faultline.session import ensure_checkpoint_dir, shuffles_freed
 
 _SHIPPED = "faultline.shipped"
 
@@ -36,7 +35,6 @@ def ship(spark: SparkSession) -> None:
     setattr(sc, _SHIPPED, True)
 
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 CHUNK_BYTES = 2 << 20
 NULL_ID = -(1 << 63)
 
@@ -48,17 +46,6 @@ def workspace(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-@contextmanager
-def shuffles_freed(spark: SparkSession):
-    """Shuffle files of jobs that end inside are deleted with them, not at some later garbage collection."""
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(CLEANUP, before)
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared folder and read again: cuts lineage and survives lost executors."""
     spark = df.sparkSession

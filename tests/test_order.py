@@ -95,3 +95,11 @@ def test_quantiles(spark, n):
         for name, p in probs.items():
             assert lin[k][name] == pytest.approx(np.quantile(vs, p), abs=1e-9)
             assert near[k][name] == s[int(np.floor((n - 1) * p + 0.5))]
+
+
+def test_rank_shuffles_each_value_once(spark):
+    """The id, the order key and the hash of the id travel once, the hash as bytes."""
+    _, df = frame(spark)
+    out = with_ordinal(df.select("service_name", "generated_at", "event_id"), ["service_name"], F.unix_micros("generated_at"), F.col("event_id"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "_id#" not in plan.replace("event_id#", "") and "unhex(" in plan

@@ -196,3 +196,24 @@ def test_incident_sink_after_a_forced_replay(spark, tmp_path):
     for name in ("slices", "incidents", "bundles"):
         assert sorted(r.event_id for r in SI.read_table(spark, out, name).collect()) == ["evt-0", "evt-1", "evt-2"]
     assert {r.event_id: r.audit_trace.policy_evaluation.status for r in SI.read_table(spark, out, "bundles").collect()}["evt-1"] == "blocked"
+
+
+def test_texts_are_made_after_the_calls_are_joined(spark):
+    """Counts joined to the enriched events give what the finished rows give, and no text goes through that shuffle."""
+    calls = spark.createDataFrame([("evt-001", "shell_exec"), ("evt-001", None), ("evt-001", "runbook_reader"), ("other", "x")], "event_id string, tool_name string")
+    ok = spark.sql(ENRICHED)
+    late = N.evaluate_policy(N.incidents(ok), calls)
+    early = N.evaluate_policy(N.incidents(N.with_calls(ok, N.call_counts(calls)), keep=N.CALLS))
+    assert N.audit_trace(early).collect() == N.audit_trace(late).collect() and early.first().violations == 2
+    none = N.evaluate_policy(N.incidents(N.with_calls(ok, N.call_counts(calls.limit(0))), keep=N.CALLS)).first()
+    assert (none.reviewed_tools, none.violations) == (0, 0)
+    plan = N.audit_trace(early)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Downstream" not in plan[plan.index("Join") :] and "Escalate to the owner" not in plan[plan.index("Join") :]
+
+
+def test_cut_leaves_no_shuffle_files(spark):
+    from faultline.session import CLEANUP, cut
+
+    before = spark.conf.get(CLEANUP, "false")
+    got = cut(spark.range(1000).selectExpr("id % 7 as k").groupBy("k").count())
+    assert sorted(r["count"] for r in got.collect()) == [142] * 1 + [143] * 6 and spark.conf.get(CLEANUP, "false") == before
