@@ -5,23 +5,31 @@ micro-batch are put in arrival order inside each key and decided as arrays; boun
 the batch with the source's per-trigger limit.  Where each node is a system of
 its own, ``keys=("source_node", "service_name")`` spreads a busy service over
 the nodes that report it.
+
+:func:`write_signals` and :func:`write_enriched` take batches of any size: each
+is decided by the batch operators, cut into blocks over all tasks, from a state
+table that the batch before has left (the last flags per key, the last signal
+per scope and service).  A batch keeps a folder of its own for rows and state;
+one that is run again replaces them, and reads the state it read before.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from faultline import constants as C
-from faultline.operators.correlation import SNAP, enrich
-from faultline.operators.detector import BUFFER, buffer_size, candidate_flags, with_decision
+from faultline.operators.correlation import SNAP, enrich, latest, snapshots
+from faultline.operators.detector import BUFFER, buffer_size, candidate_flags, last_flags, signals_after, with_decision
 from faultline.operators.incidents import incidents
+from faultline.session import shuffles_freed
 
 
 def _arrival(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
@@ -144,6 +152,49 @@ def stream_enriched(signals: DataFrame, profiles: DataFrame, **options) -> DataF
     return enrich(stream_snapshots(signals), profiles, **options)
 
 
+def _write_batches(stream: DataFrame, base: str, checkpoint: str, step: Callable[[DataFrame, DataFrame | None], DataFrame], after: Callable) -> StreamingQuery:
+    """Write ``step(batch, state)`` and the state ``after(batch, rows, state)`` of every batch below ``base``."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        rows, state = (f"{base}/{kind}/batch_id={{}}" for kind in ("rows", "state"))
+        # Batches are numbered from 0 without gaps, and start when the one before is done.
+        before = spark.read.parquet(state.format(number - 1)) if number else None
+        with shuffles_freed(spark):
+            step(batch, before).write.mode("overwrite").parquet(rows.format(number))
+            done = spark.read.parquet(rows.format(number))
+            after(batch, done, before).coalesce(1).write.mode("overwrite").parquet(state.format(number))
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_batches(spark: SparkSession, base: str) -> DataFrame:
+    """The rows of all batches."""
+    return spark.read.option("basePath", f"{base}/rows").parquet(f"{base}/rows").drop("batch_id", "ordinal", "ordinal_count")
+
+
+def write_signals(
+    scored: DataFrame, base: str, checkpoint: str, *, min_flag_window: int = C.MIN_FLAG_WINDOW, buffer: int = BUFFER,
+    keys: Sequence[str] = ("service_name",), **options,
+) -> StreamingQuery:
+    """Run the detector over what the stream has; a batch is spread over all tasks, whatever its keys."""
+    keys, limit = tuple(keys), buffer_size(min_flag_window, buffer)
+
+    def step(batch, before):
+        return signals_after(batch, before, min_flag_window=min_flag_window, buffer=buffer, keys=keys, **options)
+
+    return _write_batches(scored, base, checkpoint, step, lambda batch, rows, before: last_flags(rows, before, limit, keys))
+
+
+def write_enriched(signals: DataFrame, profiles: DataFrame, base: str, checkpoint: str, *, scope: str = "source_node", **options) -> StreamingQuery:
+    """Run snapshots and correlation over what the stream of signals has (static profile table)."""
+
+    def step(batch, before):
+        return enrich(snapshots(batch, scope=scope, before=before), profiles, **options)
+
+    return _write_batches(signals, base, checkpoint, step, lambda batch, rows, before: latest(batch, before, scope=scope))
+
+
 def stream_incidents(enriched: DataFrame) -> DataFrame:
     """Incident rows on a stream of enriched events: a stateless projection."""
     return incidents(enriched)

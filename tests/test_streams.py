@@ -217,3 +217,50 @@ def test_cut_leaves_no_shuffle_files(spark):
     before = spark.conf.get(CLEANUP, "false")
     got = cut(spark.range(1000).selectExpr("id % 7 as k").groupBy("k").count())
     assert sorted(r["count"] for r in got.collect()) == [142] * 1 + [143] * 6 and spark.conf.get(CLEANUP, "false") == before
+
+
+def test_batches_of_any_size_from_a_state_table(spark, tmp_path):
+    """Signals and snapshots over three batches by the batch operators; a key that is missing from one keeps its state."""
+    from faultline.streaming.detector import read_batches, write_enriched, write_signals
+
+    df = scored(spark)
+    df = df.where("not (cast(substring(event_id, 2) as int) between 50 and 89 and (service_name = 'orders-api' or source_node = 'node-1'))")
+    src = str(tmp_path / "src")
+    limits = {"payments-api": 0.3, "orders-api": 0.4, "checkout-api": 0.5}
+    profiles = spark.createDataFrame([("S4_INTERSERVICE_CHAIN", 1, 0.5)], "scenario_tag string, cluster_id int, cluster_strength double")
+    for keys in (("service_name",), ("source_node", "service_name")):
+        base = str(tmp_path / "-".join(keys))
+        for lo, hi in ((0, 50), (50, 90), (90, 120)):
+            if keys == ("service_name",):
+                df.where(f"cast(substring(event_id, 2) as int) >= {lo} and cast(substring(event_id, 2) as int) < {hi}").coalesce(1).write.mode("append").parquet(src)
+            stream = spark.readStream.schema(df.schema).parquet(src)
+            write_signals(stream, base, f"{base}-state", thresholds=limits, keys=keys).awaitTermination()
+        cols = ["event_id", "anomaly_flag", "candidate_flag", "window_size", "window_fill", "reason_codes", "iforest_label", "service_candidate_rate"]
+        want = DT.detector_signals(df, thresholds=limits, keys=keys)
+        assert sorted(map(str, read_batches(spark, base).select(*cols).collect())) == sorted(map(str, want.select(*cols).collect()))
+    batch = DT.detector_signals(df, thresholds=limits)
+    log, out = str(tmp_path / "log"), str(tmp_path / "enriched")
+    for lo, hi in ((0, 50), (50, 90), (90, 120)):
+        batch.where(f"cast(substring(event_id, 2) as int) >= {lo} and cast(substring(event_id, 2) as int) < {hi}").coalesce(1).write.mode("append").parquet(log)
+        source = spark.readStream.schema(batch.schema).parquet(log)
+        write_enriched(source, profiles, out, f"{out}-state").awaitTermination()
+    got = sorted((r.event_id, r.raw_event_refs, r.inferred_scenario) for r in read_batches(spark, out).collect())
+    assert got == sorted((r.event_id, r.raw_event_refs, r.inferred_scenario) for r in CO.enrich(CO.snapshots(batch), profiles).collect())
+
+
+def test_detector_leaves_no_key_to_one_python_task(spark):
+    """The registered streams run on the batch operators: no grouped Python state, whatever the keys."""
+    from faultline.operators.detector import signals_after
+
+    plan = signals_after(scored(spark), None)._jdf.queryExecution().executedPlan().toString()
+    assert "Pandas" not in plan and "Python" not in plan and "_block" in plan
+
+
+def test_events_with_counts_need_no_calls(spark):
+    from faultline.streaming.incidents import incident_tables
+
+    calls = spark.createDataFrame([("evt-001", "shell_exec")], "event_id string, tool_name string")
+    ok = spark.sql(ENRICHED)
+    early = incident_tables(N.with_calls(ok, N.call_counts(calls)))
+    assert early["bundles"].collect() == incident_tables(ok, calls)["bundles"].collect()
+    assert set(early) == {"slices", "incidents", "bundles"} and "bundles" not in incident_tables(ok)
