@@ -55,3 +55,9 @@ def test_sweep_reads_scores_once_per_role(spark):
     """One pass for the sweep; the grid and the slice limits are scalar subqueries or small joins."""
     plan = _plan(SQ.threshold_sweep(spark, D))
     assert "BroadcastNestedLoopJoin" not in plan
+
+
+@pytest.mark.parametrize("name", ["contamination_sweep", "decision_scores"])
+def test_forest_is_walked_once(spark, name):
+    """What is built on the scores reads them as fixed: no Python is left in the plan."""
+    assert "Python" not in _plan(entry.queries()[name](spark, D))
