@@ -35,12 +35,15 @@ def long_quantiles(
     mode: str = "linear",
     accuracy: int = ACCURACY,
     margin: float = MARGIN,
+    few: bool = True,
 ) -> DataFrame:
     """One row per key with a column per named probability.
 
     ``mode`` is ``linear`` (interpolated) or ``nearest`` (value at the rounded
     rank).  Null values are ignored; NaN ranks above every number.  Without keys
     and without values the one row holds nulls; a key without values has no row.
+    ``few`` keys (services, scenarios, metrics) have their brackets sent to the rows, which
+    would else all meet in their key's task; say no where keys grow with the rows.
     """
     if mode not in ("linear", "nearest"):
         raise ValueError(f"unknown quantile mode: {mode}")
@@ -66,7 +69,7 @@ def long_quantiles(
     )
     if keys:
         cond = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-        hit = data.join(plan, cond, "inner").select(*keys, "value", "_t")
+        hit = data.join(F.broadcast(plan) if few else plan, cond, "inner").select(*keys, "value", "_t")
     else:
         hit = data.withColumn("_t", plan.select("_t").scalar())
 

@@ -58,7 +58,8 @@ def burst_proxy(
     limits = column_quantiles(df if source is None else source, ["service_name"], fields, {"lim": q}, mode="nearest")
     limits = limits.withColumnRenamed("service_name", "_svc")
     hits = " + ".join(f"cast({f} >= {f}_lim as int)" for f in fields)
-    return df.join(limits, F.expr("service_name <=> _svc"), "left").select(
+    # One row per service; unless it travels, every row would go to its service's task.
+    return df.join(F.broadcast(limits), F.expr("service_name <=> _svc"), "left").select(
         *df.columns, F.expr(hits).alias("burst_proxy_score"), F.expr(f"({hits}) >= 2").alias("burst_proxy")
     )
 

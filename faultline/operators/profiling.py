@@ -68,7 +68,7 @@ def burst_runs(
     hits = " + ".join(f"cast({f} >= {f}_p95 as int)" for f in fields)
     # Rank before the join: the ranking reads its input more than once.
     ordered = in_arrival_order(df.select("service_name", "generated_at", "event_id", *fields))
-    rows = ordered.join(limits.withColumnRenamed("service_name", "_svc"), F.expr("service_name <=> _svc")).selectExpr(
+    rows = ordered.join(F.broadcast(limits.withColumnRenamed("service_name", "_svc")), F.expr("service_name <=> _svc")).selectExpr(
         "service_name", "ordinal", f"ordinal div {block} as blk", f"({hits}) >= {min_hits} as burst"
     )
     totals = rows.groupBy("service_name").agg(

@@ -45,7 +45,7 @@ def cluster_confidence(scored: DataFrame, aggregation: str) -> DataFrame:
     means = members.groupBy("cluster_id").agg(F.avg("value").alias("m"))
     if aggregation == "mean":
         return means.selectExpr("cluster_id", "round(m, 6) as mean_score", "round(m, 6) as confidence")
-    q = long_quantiles(members, ["cluster_id"], {"q": _AGGREGATION[aggregation]}).withColumnRenamed("cluster_id", "_c")
+    q = long_quantiles(members, ["cluster_id"], {"q": _AGGREGATION[aggregation]}, few=False).withColumnRenamed("cluster_id", "_c")
     return means.join(q, F.expr("cluster_id = _c")).selectExpr("cluster_id", "round(m, 6) as mean_score", "round(q, 6) as confidence")
 
 
@@ -126,7 +126,7 @@ def cluster_evidence(assignments: DataFrame, resolved: DataFrame) -> DataFrame:
     )
     stack = ", ".join(f"'{v}', cast({v} as double)" for v in LAGS.values())
     lags = j.selectExpr("cluster_id", f"stack({len(LAGS)}, {stack}) as (lag, value)")
-    q = long_quantiles(lags, ["cluster_id", "lag"], {"p10": 0.1, "p50": 0.5, "p90": 0.9})
+    q = long_quantiles(lags, ["cluster_id", "lag"], {"p10": 0.1, "p50": 0.5, "p90": 0.9}, few=False)
     wide = q.groupBy(F.col("cluster_id").alias("_c")).agg(
         *[F.expr(f"round(max(case when lag = '{v}' then {p} end), 6)").alias(f"{v}_{p}") for v in LAGS.values() for p in ("p10", "p50", "p90")]
     )
