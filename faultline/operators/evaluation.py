@@ -245,8 +245,10 @@ def threshold_sweep(df: DataFrame, grid: DataFrame | None = None) -> DataFrame:
         .agg(
             F.count(F.lit(1)).alias("all"), F.expr("count_if(scenario_tag = 'normal')").alias("normal"),
             F.expr("count_if(scenario_tag = 'anomalous')").alias("anom"), F.expr("count_if(burst_proxy)").alias("burst"),
-            F.expr("count_if(drift_slice = 'late')").alias("late"), F.max("_g").alias("_g"),
+            F.expr("count_if(drift_slice = 'late')").alias("late"),
         )
+        # Joined to the counts: as an aggregate the array would have every row sorted.
+        .withColumn("_g", cuts)
     )
     kinds = ("all", "normal", "anom", "burst", "late")
     per_service = (

@@ -45,3 +45,11 @@ def test_brackets_travel_to_the_rows(rows, no_size_checks):
     q = column_quantiles(rows, ["service_name"], ["queue_length", "latency_ms"], {"p": 0.5})
     assert "SortMergeJoin" not in plan_of(q)
     assert q.count() == 3
+
+
+def test_sweep_sorts_no_rows(rows, no_size_checks):
+    flagged = rows.withColumns({"burst_proxy": F.col("latency_ms") > 5, "drift_slice": F.lit("late")})
+    s = EV.threshold_sweep(flagged)
+    assert "SortAggregate" not in plan_of(s)
+    by_hand = [r.anomaly_score >= 0.58 for r in rows.collect()]
+    assert s.where("threshold = 0.58").first().flag_rate_overall == sum(by_hand) / 60
