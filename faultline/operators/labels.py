@@ -30,7 +30,8 @@ def stress_score(df: DataFrame, weights: Mapping[str, float] = STRESS_WEIGHTS) -
     terms = " + ".join(
         f"coalesce(case when _s_{c} > 0 then ({c} - _m_{c}) / _s_{c} end, 0D) * {w}D" for c, w in weights.items()
     )
-    return df.join(stats, F.expr("service_name <=> _svc")).select(*df.columns, F.expr(terms).alias("stress_score"))
+    # One row per service; unless it travels, every row would go to its service's task.
+    return df.join(F.broadcast(stats), F.expr("service_name <=> _svc")).select(*df.columns, F.expr(terms).alias("stress_score"))
 
 
 def residual_quota(df: DataFrame, *, target_rate: float, minimum_count: int, balanced: bool = True) -> DataFrame:
@@ -62,7 +63,7 @@ def residual_control(
     normal = stress_score(df.where("scenario_tag = 'normal'"))
     ranked = with_ordinal(normal, ["service_name"], -F.round("stress_score", 9), F.col("event_id"))
     q = quota.withColumnRenamed("service_name", "_svc")
-    picked = ranked.join(q, F.expr("service_name <=> _svc"), "left").withColumn("_hit", F.expr("ordinal < coalesce(quota, 0)"))
+    picked = ranked.join(F.broadcast(q), F.expr("service_name <=> _svc"), "left").withColumn("_hit", F.expr("ordinal < coalesce(quota, 0)"))
     changed = {
         "scenario_tag": "case when _hit then 'anomalous' else scenario_tag end",
         "status_code": "case when _hit and status_code = 200 then 429 else status_code end",

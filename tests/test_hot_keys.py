@@ -4,11 +4,17 @@ import datetime as dt
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from faultline import fixtures as X
 from faultline.functions.quantiles import column_quantiles
 from faultline.operators import evaluation as EV
 from faultline.operators import labels as LB
+from faultline.plans.file_queries import quarantined_envelopes
+from faultline.plans.signal_queries import decision_features
+from faultline.streaming import bus
 
+SMALL = "/root/testdata/sf0.001"
 T0 = dt.datetime(2026, 1, 1)
 
 
@@ -53,3 +59,29 @@ def test_sweep_sorts_no_rows(rows, no_size_checks):
     assert "SortAggregate" not in plan_of(s)
     by_hand = [r.anomaly_score >= 0.58 for r in rows.collect()]
     assert s.where("threshold = 0.58").first().flag_rate_overall == sum(by_hand) / 60
+
+
+def test_stress_statistics_travel_to_the_rows(rows, no_size_checks):
+    assert "SortMergeJoin" not in plan_of(LB.stress_score(rows))
+    assert LB.stress_score(rows).count() == 60
+
+
+def test_envelopes_are_parsed_once(spark):
+    lines = ['{"payload": "{\\"event_id\\": \\"a\\"}"}', '{"payload": " [1]"}', '{"x": 1}', '{"payload": "{\\"event_id\\": "}', "junk"]
+    raw = spark.createDataFrame([(x,) for x in lines], "value string")
+    good, bad = bus.decode_envelopes(raw, T.StructType().add("event_id", "string"))
+    for df in (good, bad):
+        assert plan_of(df).count("get_json_object(") == 1
+    assert [r.event_id for r in good.collect()] == ["a"]
+    assert sorted((r.value, r.reason) for r in bad.collect()) == sorted(
+        (x, "missing payload" if x in (lines[2], lines[4]) else "payload is not an object") for x in lines[1:])
+
+
+def test_nothing_kept_is_a_row(spark, monkeypatch):
+    none = X.wide_events(spark, SMALL).where("status_code = -1")
+    monkeypatch.setattr(X, "wide_events", lambda *_: none)
+    assert [tuple(r) for r in quarantined_envelopes(spark, SMALL).collect()] == [("kept", 0)]
+
+
+def test_decision_features_work_out_no_decisions(spark):
+    assert "row_number" not in plan_of(decision_features(spark, SMALL))
