@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -47,14 +47,23 @@ def decode_envelopes(raw: DataFrame, schema: T.StructType) -> tuple[DataFrame, D
     A line without a payload, or whose payload is no JSON object, is
     quarantined with its reason.
     """
-    payload = F.get_json_object("value", "$.payload")
-    keyed = raw.withColumn("_p", payload).withColumn("_e", F.from_json("_p", schema))
-    reason = (
-        F.when(F.col("_p").isNull(), F.lit("missing payload"))
-        .when(~F.ltrim("_p").startswith("{") | F.json_object_keys("_p").isNull(), F.lit("payload is not an object"))
-    )
-    keyed = keyed.withColumn("_why", reason)
-    return keyed.where("_why is null").select("_e.*"), keyed.where("_why is not null").select("value", F.col("_why").alias("reason"))
+    read = read_envelopes(raw, schema)
+    return read.where("reason is null").select("event.*"), read.where("reason is not null").select("value", "reason")
+
+
+def read_envelopes(raw: DataFrame, schema: T.StructType) -> DataFrame:
+    """(value, event, reason): every envelope line with its event, or the reason it is quarantined for."""
+
+    def parts(p: Column) -> Column:
+        reason = (
+            F.when(p.isNull(), F.lit("missing payload"))
+            .when(~F.ltrim(p).startswith("{") | F.json_object_keys(p).isNull(), F.lit("payload is not an object"))
+        )
+        return F.struct(F.from_json(p, schema).alias("event"), reason.alias("reason"))
+
+    # One parse a line: filters on the result are not worked out again below the generator.
+    one = F.transform(F.array(F.get_json_object("value", "$.payload")), parts)
+    return raw.select("value", F.inline(one))
 
 
 def encode_envelopes(df: DataFrame, topic: str) -> DataFrame:
