@@ -218,7 +218,8 @@ def decision_slices(spark, d):
 
 
 def decision_features(spark, d):
-    return rounded(EV.decision_features(signals(spark, d)))
+    # Every scored row gets one decision, which changes none of the columns read here, so none is worked out.
+    return rounded(EV.decision_features(scored(spark, d)))
 
 
 def decision_counts(spark, d):
