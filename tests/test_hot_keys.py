@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from faultline import fixtures as X
+from faultline.functions.ordinals import slices_for, with_ordinal
 from faultline.functions.quantiles import column_quantiles
 from faultline.operators import evaluation as EV
 from faultline.operators import labels as LB
+from faultline.operators.correlation import snapshots
 from faultline.plans.file_queries import quarantined_envelopes
 from faultline.plans.signal_queries import decision_features
 from faultline.streaming import bus
@@ -85,3 +87,21 @@ def test_nothing_kept_is_a_row(spark, monkeypatch):
 
 def test_decision_features_work_out_no_decisions(spark):
     assert "row_number" not in plan_of(decision_features(spark, SMALL))
+
+def test_ordinals_deal_rows_out_once(rows, no_size_checks):
+    """The sizes join by the columns the ranks are dealt by; behind a join the size estimate does not set the slices."""
+    plan = plan_of(with_ordinal(rows, ["service_name"], F.unix_micros("generated_at"), F.col("event_id"), slices=4))
+    assert "hashpartitioning(coalesce(" not in plan
+    wide = rows.crossJoin(rows.selectExpr("event_id as other")).crossJoin(rows.selectExpr("event_id as third")).where("other = 'e1' and third = 'e2'")
+    assert slices_for(wide) >= 64
+    got = with_ordinal(wide, ["service_name"], F.unix_micros("generated_at"), F.col("event_id"))
+    for svc in ("payments-api", "orders-api", None):
+        mine = got.where(F.col("service_name").eqNullSafe(F.lit(svc))).orderBy("generated_at").collect()
+        assert [(r.ordinal, r.ordinal_count) for r in mine] == [(i, 20) for i in range(20)]
+
+
+def test_snapshots_deal_rows_out_once(rows, no_size_checks):
+    sig = rows.withColumns({"source_node": F.lit("n"), "anomaly_flag": F.lit(False), "candidate_flag": F.lit(False), "iforest_label": F.lit("normal"), "scored_at": F.col("generated_at")})
+    s = snapshots(sig)
+    assert "hashpartitioning(source_node" not in plan_of(s) and "hashpartitioning(coalesce(" not in plan_of(s)
+    assert s.count() == 40
