@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.shared import _WORDS, ALNUM_WORD, FOLD_ASCII, Words, mix, ship, sliding_least, spans_hash, text_chunks, written
+from faultline.llm.shared import ALNUM_WORD, FOLD_ASCII, _WORDS, Words, memory_returned, mix, ship, sliding_least, spans_hash, text_chunks, written
 
 WINDOW, GRAM = 13, 5
 BLOCK_WINDOWS = 2_000_000  # largest benchmark, in windows, that travels to the tasks: some 50 MB
@@ -126,6 +126,7 @@ def _mark(block, carry: int, text_at: int):
             merged = [_merged(s) for s in spans]
             new = [pa.array(merged, SPAN_TYPE), pa.array([sorted(i) for i in items], pa.list_(pa.int64())), pa.array(n_words)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:carry], *new], names=[*batch.schema.names[:carry], "_hit_spans", "_hit_items", "_n_words"])
+            memory_returned()
 
     return run
 

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.shared import mix, ship, text_chunks
+from faultline.llm.shared import memory_returned, mix, ship, text_chunks
 
 BUCKETS, WIDTH = 1 << 13, 16
 ORDERS = (2, 3, 4)
@@ -236,5 +236,6 @@ def keep_known(docs: DataFrame, model: LanguageModel) -> DataFrame:
         for batch in batches:
             lang, score = ready.predict(batch.column(at).cast(pa.string()))
             yield batch.filter(pa.array((np.array(lang) != UNKNOWN) & (score >= ready.threshold)) if len(lang) else pa.array([], pa.bool_()))
+            memory_returned()
 
     return docs.mapInArrow(keep, docs.schema)

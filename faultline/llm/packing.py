@@ -8,7 +8,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.shared import NULL_ID, PLAIN_WORD, Words, id_or_least, mix, ship, text_chunks
+from faultline.llm.shared import NULL_ID, PLAIN_WORD, Words, id_or_least, memory_returned, mix, ship, text_chunks
 from faultline.llm.tokens import default_vocabulary, encoder, text_slices
 
 BUCKETS, AXES, BITS = 256, 3, 10
@@ -130,7 +130,9 @@ def pack(docs: DataFrame, *, vocabulary: str | None = None, end_id: int = 1, siz
 
     @F.arrow_udf("long")
     def key(texts: pa.Array) -> pa.Array:
-        return pa.array(curve_keys(texts))
+        out = pa.array(curve_keys(texts))
+        memory_returned()
+        return out
 
     def fill(batches):
         coder = encoder(path)
@@ -147,6 +149,7 @@ def pack(docs: DataFrame, *, vocabulary: str | None = None, end_id: int = 1, siz
                 if held >= OUT_IDS and packer.done:
                     yield packer.batch()
                     held = 0
+            memory_returned()
         packer.finish()
         if packer.done:
             yield packer.batch()

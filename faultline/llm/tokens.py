@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_PIECES = 500_000
+CACHE_PIECES = 300_000
 CHUNK_BYTES = 4 << 20
 #: A space before white space or at the end: fixed list of the white space characters of Unicode.
 _UNSAFE = r" (?:[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]|$)"
@@ -23,8 +23,9 @@ class PieceEncoder:
     A byte-level vocabulary starts a new unit at every space that a visible
     character follows, so the text is cut there and each distinct piece is
     encoded by the library once; a text with another kind of space run is
-    encoded whole.  The table is dropped when it holds
-    ``CACHE_PIECES`` pieces; this bounds memory and never changes an id.
+    encoded whole.  The table, which holds words with and without the marks
+    after them, is dropped when it has ``CACHE_PIECES`` entries; this bounds
+    memory and never changes an id.
     """
 
     def __init__(self, path: str):
@@ -41,9 +42,8 @@ class PieceEncoder:
         self.reset()
 
     def reset(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index: dict[str, int] = {}  # a piece that follows a space is its own key, one at a start has a space before it
         self.marks: dict[str, list[int]] = {}
-        self.words: dict[str, list[int]] = {}
         self.ids, self.bounds, self.n = array("I"), array("q", [0]), 0
 
     def _add(self, key: str, ids: list[int]) -> None:
@@ -55,19 +55,22 @@ class PieceEncoder:
     def _encode(self, text: str) -> list[int]:
         """One piece: a space and letters are a single unit of the vocabulary's model, and so is punctuation after them."""
         core = text.rstrip(_MARKS)
-        ids = self.words.get(core)
-        if ids is None:
-            word = core[1:] if core[:1] == " " else core
-            if not word.isalpha():
-                left, line, right = text.partition("\n")
-                if line and left and right and not left[-1].isspace() and not right[0].isspace():
-                    return self._encode(left) + self._punctuation("\n") + self._encode(right)
-                return self.tokenizer.encode(text, add_special_tokens=False).ids
+        word, key = (core[1:], core[1:]) if core[:1] == " " else (core, " " + core)
+        if not word.isalpha():
+            left, line, right = text.partition("\n")
+            if line and left and right and not left[-1].isspace() and not right[0].isspace():
+                return self._encode(left) + self._punctuation("\n") + self._encode(right)
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        at = self.index.get(key)
+        if at is not None:
+            ids = self.ids[self.bounds[at] : self.bounds[at + 1]].tolist()
+        else:
             if core.isascii():
                 shown = core.replace(" ", "\u0120")
             else:
                 shown = core.encode().decode("latin-1").translate(self.printable)
-            ids = self.words[core] = [t.id for t in self.model.tokenize(shown)]
+            ids = [t.id for t in self.model.tokenize(shown)]
+            self._add(key, ids)
         return ids + self._punctuation(text[len(core) :]) if len(core) < len(text) else ids
 
     def _punctuation(self, text: str) -> list[int]:
@@ -77,13 +80,16 @@ class PieceEncoder:
 
     def _places(self, pieces: list[str], lead: str) -> np.ndarray:
         """Table places of distinct pieces that follow ``lead`` (a space, or nothing at the start of a text)."""
-        mark = "" if lead else "\0"
+        mark = "" if lead else " "
         get = self.index.get
         at = list(map(get, pieces)) if lead else [get(mark + p) for p in pieces]
         for k, found in enumerate(at):
             if found is None:
-                self._add(mark + pieces[k], self._encode(lead + pieces[k]))
-                at[k] = self.n - 1
+                key = mark + pieces[k]
+                ids = self._encode(lead + pieces[k])
+                if key not in self.index:  # a word is added with its first piece
+                    self._add(key, ids)
+                at[k] = self.index[key]
         return np.array(at, np.int64)
 
     def encode(self, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -121,6 +122,28 @@ def test_pieces_encode_as_the_library():
     assert (again == ids).all()
 
 
+def test_a_start_is_never_taken_for_a_piece_after_a_space():
+    coder = tokens.PieceEncoder(tokens.default_vocabulary())
+    texts = ["a \0x", "x y"]
+    ids, cuts = coder.encode(pa.array(texts), None)
+    assert [ids[cuts[k] : cuts[k + 1]].tolist() for k in (0, 1)] == [coder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_table_of_pieces_holds_a_word_once(monkeypatch):
+    words = ["".join("abcdefghij"[int(c)] for c in str(n)) for n in range(100_000, 140_000)]
+    coder = tokens.PieceEncoder(tokens.default_vocabulary())
+    coder.encode(pa.array(["warm up"]), 1)
+    tracemalloc.start()
+    first, _ = coder.encode(pa.array([" ".join(words)]), 1)
+    held = tracemalloc.get_traced_memory()[0] - first.nbytes
+    tracemalloc.stop()
+    assert held < 250 * len(words)  # 400 bytes a word with a second table
+    monkeypatch.setattr(tokens, "CACHE_PIECES", 1000)
+    assert (coder.encode(pa.array([" ".join(words)]), 1)[0] == first).all() and coder.n <= len(words) + 2
+    coder.encode(pa.array(["a few words"]), 1)
+    assert coder.n < 10
+
+
 def test_token_files_round_trip(docs, none):
     manifest = token_files.write_token_files(docs)
     back = token_files.read_token_files(manifest).orderBy("start").collect()
