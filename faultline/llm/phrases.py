@@ -9,7 +9,7 @@ dictionary of the block's distinct phrases and their counts.  A level is
     semi-join      the rows of frequent phrases alone go back to their blocks
     merge-join     R(k) with itself at adjacent positions of one piece: R(k+1)
 
-so occurrences are never shuffled by phrase, and a phrase that holds a third of
+so occurrences are never shuffled by phrase, dictionary rows are three numbers, and a phrase that holds a third of
 them is one dictionary row per block of ``BLOCK_BYTES``.  A (k+1)-word phrase is the pair of its
 first and its last k words, by the numbers of those frequent phrases; words and
 phrases are compared in full, never by hash.
@@ -140,11 +140,38 @@ def split_join(many: DataFrame, few: DataFrame, keys: list[str], total: int) ->
     return many.join(top, keys).unionByName(many.join(F.broadcast(few.where(hot).select(*keys)), keys, "left_anti").join(rest, keys))
 
 
-def _frequent(entries: DataFrame, keys: list[str], min_count: int) -> DataFrame:
-    """block, local, keys, a and gid of the dictionary rows of frequent phrases; gids are fixed by being written."""
+def _frequent(entries: DataFrame, keys: list[str], min_count: int) -> tuple[DataFrame, int]:
+    """block, local, keys, a and gid of the dictionary rows of frequent phrases, and a bound of the gids.
+
+    gids are fixed by being written, then moved together, task after task: a bound
+    below 2^31.5 lets two of them share a number.  Count and place of a row travel
+    as one number, too.
+    """
     over = W.partitionBy(*keys)
-    counted = entries.withColumn("a", F.sum("n").over(over)).where(F.col("a") >= min_count).withColumn("row", F.monotonically_increasing_id())
-    return written(counted.withColumn("gid", F.min("row").over(over)).select("block", "local", *keys, "a", "gid"), "frequent")
+    rows = entries.select("block", *keys, F.expr("shiftleft(n, 32) | local").alias("held")).repartition(*keys)  # unpacked after it
+    rows = rows.select("block", *keys, F.expr("cast(held & 2147483647 as int)").alias("local"), F.expr("shiftright(held, 32)").alias("n"))
+    counted = rows.withColumn("a", F.sum("n").over(over)).where(F.col("a") >= min_count).withColumn("row", F.monotonically_increasing_id())
+    found = written(counted.withColumn("gid", F.min("row").over(over)).select("block", "local", *keys, "a", "gid"), "frequent")
+    task = F.expr("cast(shiftright(gid, 33) as int)")
+    within = F.expr(f"gid & {(1 << 33) - 1}L")
+    used = {r.task: r.n for r in found.groupBy(task.alias("task")).agg((F.max(within) + 1).alias("n")).collect()}  # a row per task
+    starts = np.concatenate([[0], np.cumsum([used.get(k, 0) for k in range(max(used, default=0) + 1)])]).tolist()
+    first = F.element_at(F.expr("array(" + ", ".join(f"{int(x)}L" for x in starts[:-1]) + ")"), task + 1)
+    return found.withColumn("gid", first + within), max(1, int(starts[-1]))
+
+
+def _paired(entries: DataFrame, bound: int) -> tuple[DataFrame, list[str]]:
+    """Rows whose left and right are one number where it has room for both, and the columns to group by."""
+    if bound * bound >= 1 << 63:
+        return entries, ["left", "right"]
+    return entries.withColumn("pair", F.expr(f"left * {bound}L + right")).drop("left", "right"), ["pair"]
+
+
+def _parted(found: DataFrame, bound: int) -> DataFrame:
+    """left and right again."""
+    if "pair" not in found.columns:
+        return found
+    return found.withColumns({"left": F.expr(f"pair div {bound}L"), "right": F.expr(f"pair % {bound}L")}).drop("pair")
 
 
 def _with_parts(frequent: DataFrame, below: DataFrame) -> DataFrame:
@@ -171,7 +198,7 @@ def frequent_phrases(docs: DataFrame, *, min_count: int = MIN_COUNT, longest: in
     relation = written(rows.mapInArrow(_first_relation, f"{_BLOCK}, {_DICTIONARY}"), "occurrences")
     entries = relation.select("block", F.inline("list"))
     totals = written(entries.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
-    named = _frequent(entries.select("block", "local", "lang", "word", "n"), ["lang", "word"], min_count)
+    named, bound = _frequent(entries.select("block", "local", "lang", "word", "n"), ["lang", "word"], min_count)
     level = named.groupBy("gid").agg(*[F.first(c).alias(c) for c in ("lang", "word", "a")]).select(
         "gid", F.lit(None).cast("long").alias("left"), F.lit(None).cast("long").alias("right"), "lang", "a",
         F.array("word").alias("words"), F.array("a").alias("heads"), F.array("a").alias("tails"),
@@ -183,11 +210,12 @@ def frequent_phrases(docs: DataFrame, *, min_count: int = MIN_COUNT, longest: in
         wider = written(left.cogroup(right).applyInArrow(_extended, f"{_BLOCK}, {_DICTIONARY}"), "occurrences")
         dropped(relation)
         relation = wider
-        entries = relation.select("block", F.inline("list")).select("block", "local", "left", "right", "n")
-        found = _frequent(entries, ["left", "right"], min_count)
+        entries, keys = _paired(relation.select("block", F.inline("list")).select("block", "local", "left", "right", "n"), bound)
+        found, wider_bound = _frequent(entries, keys, min_count)
         dropped(named)
         named = found
-        pairs = written(named.groupBy("gid").agg(*[F.first(c).alias(c) for c in ("left", "right", "a")]), "pairs")
+        pairs = written(_parted(named.groupBy("gid").agg(*[F.first(c).alias(c) for c in (*keys, "a")]), bound), "pairs")
+        bound = wider_bound
         level = written(_with_parts(pairs, level), "phrases")
         every.append(level)
         if level.isEmpty():

@@ -160,6 +160,17 @@ def test_hot_keys_are_split_from_the_rest(spark, monkeypatch):
     assert sorted(map(tuple, phrases.collocations(table(spark, phrased()), min_count=5, top=25).collect())) == brute_phrases(phrased(), 5, 25)
 
 
+@pytest.mark.parametrize("bound, keys", [(4, ["pair"]), (3037000499, ["pair"]), (3037000500, ["left", "right"])])
+def test_two_gids_travel_as_one_number(spark, bound, keys):
+    rows = [(b, i, x, y, 60) for b in (1, 2) for i, (x, y) in enumerate([(0, bound - 1), (bound - 1, 0), (bound - 1, bound - 1), (1, 2)])]
+    entries, got = phrases._paired(spark.createDataFrame([*rows, (3, 9, 2, 1, 60)], "block long, local int, left long, right long, n long"), bound)
+    assert got == keys and len(entries.columns) == 3 + len(keys)
+    found, limit = phrases._frequent(entries, got, 100)
+    out = phrases._parted(found, bound).collect()
+    assert sorted((r.block, r.local, r.left, r.right, r.a) for r in out) == sorted((b, i, x, y, 120) for b, i, x, y, _ in rows)
+    assert len({r.gid for r in out}) == len({(r.gid, r.left, r.right) for r in out}) == 4 and all(0 <= r.gid < limit <= len(rows) for r in out)
+
+
 def test_phrases_of_nothing_and_one_word(spark):
     assert phrases.collocations(table(spark, [])).collect() == []
     assert phrases.collocations(table(spark, [(1, "word", "en")] * 200)).collect() == []
