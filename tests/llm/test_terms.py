@@ -1,11 +1,14 @@
 """Spelling variants, phrase collocations and secret scans against brute-force versions."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -171,6 +174,56 @@ def test_two_gids_travel_as_one_number(spark, bound, keys):
     assert len({r.gid for r in out}) == len({(r.gid, r.left, r.right) for r in out}) == 4 and all(0 <= r.gid < limit <= len(rows) for r in out)
 
 
+@pytest.mark.parametrize("bound", [1, 7, 300, 1 << 32, (1 << 32) + 1])
+def test_buckets_count_pairs_in_full(bound):
+    """Answers follow the codes, whatever the bucket; numbers too large for one travel as two."""
+    rng, bits = np.random.default_rng(bound), phrases.LEAST_BITS
+    want, sent, asked = Counter(), defaultdict(list), {}
+    for block in range(5):
+        ends = rng.choice([0, 1, bound // 2, bound - 2, bound - 1, *rng.integers(0, bound, 20)], (200, 2)).astype(np.int64).clip(0, bound - 1)
+        pairs, count = np.unique(ends, axis=0, return_counts=True)
+        order, dictionary = phrases._dealt(pairs[:, 0], pairs[:, 1], count, bound, bits)
+        asked[block] = [tuple(x) for x in pairs[order].tolist()]
+        want.update(dict(zip(map(tuple, pairs.tolist()), count.tolist())))
+        for row in phrases._rows(block, np.arange(3), np.arange(3), dictionary).to_pylist()[1:]:
+            sent[row["bucket"]].append(row)
+    found, told = {}, defaultdict(list)
+    for bucket in sorted(sent):
+        out = phrases._counted_pairs(pa.Table.from_pylist(sent[bucket], phrases._ROWS), bound, bits, 6).to_pylist()
+        listed = {r["place"]: ((r["left"], r["right"]), r["a"]) for r in out[-1]["list"]}
+        assert out[-1]["used"] == len(listed)
+        found |= dict(listed.values())
+        for row in out[:-1]:
+            told[row["block"]] += [listed[x - 1][0] if x else None for x in phrases._unpacked(row["answer"]).tolist()]
+    assert found == {p: n for p, n in want.items() if n >= 6}
+    assert told == {b: [p if want[p] >= 6 else None for p in asked[b]] for b in asked}
+
+
+@pytest.mark.parametrize("values", [[], [0], [255, 0], [256] * 9, [2**64 - 1, 1], list(range(70000))])
+def test_numbers_of_few_bytes(values):
+    assert phrases._unpacked(phrases._packed(np.array(values, np.uint64))).tolist() == values
+
+
+def test_occurrences_take_less_disk_than_their_text(spark, monkeypatch):
+    sizes = []
+
+    def weighed(df, label):
+        out = written(df, label)
+        sizes.append((label, sum(os.path.getsize(f.removeprefix("file://").removeprefix("file:")) for f in out.inputFiles())))
+        return out
+
+    written = phrases.written
+    monkeypatch.setattr(phrases, "written", weighed)
+    rng = np.random.default_rng(5)
+    words = np.array([f"word{i}" for i in range(4000)])
+    rows = [(i, " ".join(words[(4000 * rng.random(200) ** 3).astype(int)]), "en") for i in range(1500)]
+    every, _ = phrases.frequent_phrases(table(spark, rows).coalesce(2), min_count=20)
+    assert every.where("size(words) > 2").count()
+    text = sum(len(t) for _, t, _ in rows)
+    most = max(n for label, n in sizes if label == "occurrences") / text
+    assert most < 0.75, most
+
+
 def test_phrases_of_nothing_and_one_word(spark):
     assert phrases.collocations(table(spark, [])).collect() == []
     assert phrases.collocations(table(spark, [(1, "word", "en")] * 200)).collect() == []
