@@ -186,3 +186,14 @@ def test_search_compares_few_pairs(spark):
     assert index.compared(index.asks) < 0.15 * n * n
     for i in range(0, n, 97):
         assert got[i] == sorted(NB.distances(x[i], x))[5]
+
+
+def test_every_far_group_has_a_pivot():
+    rng = np.random.default_rng(7)
+    x = rng.normal(0, 1, (30, 64))[np.arange(160) % 30] * 4 + rng.normal(0, 0.2, (160, 64))
+    drawn = x[np.argsort((np.arange(160) % 30 > 4) & (np.arange(160) < 150), kind="stable")]  # the first half is of few groups
+    pivots = NB.spread_out(drawn, 50)
+    assert len(pivots) == 50 and (pivots[:25] == drawn[:25]).all()
+    assert NB.to_pivots(x, pivots).min(axis=1).max() < 5  # groups are 30 and more apart
+    assert NB.to_pivots(x, drawn[:50]).min(axis=1).max() > 5
+    assert len(NB.spread_out(np.zeros((9, 2)), 6)) == 3 and len(NB.spread_out(np.zeros((0, 0)), 1)) == 0
