@@ -84,10 +84,12 @@ def link_edges(unique: DataFrame) -> DataFrame:
     those with one set bit cleared: of two values one bit apart, the larger finds
     the smaller.  Buckets of up to ``COLD`` entries list their verified links;
     larger ones are compared tile against tile, each giving a spanning star.
+    Rows that a generator makes are estimated as one each, so joins of segments
+    and probes are told to shuffle: broadcast, they would pass the driver whole.
     """
     table = unique.select(F.expr(f"inline({_segments('fp')})"), "fp").select("seg", F.col("value").alias("slot"), "fp")
     sizes = table.groupBy("seg", "slot").agg(F.count(F.lit(1)).alias("n"))
-    sized = written(table.join(sizes, ["seg", "slot"]), "segments")
+    sized = written(table.join(sizes.hint("merge"), ["seg", "slot"]), "segments")
     lists = sized.where(F.col("n") <= COLD).groupBy("seg", "slot").agg(F.collect_list("fp").alias("members"), F.max("n").alias("n"))
     hot = sized.where(F.col("n") > COLD).groupBy("seg", "slot").agg(F.max("n").alias("n"))
     slots = lists.unionByName(hot.withColumn("members", F.expr("cast(array() as array<bigint>)")))
@@ -96,7 +98,7 @@ def link_edges(unique: DataFrame) -> DataFrame:
     probes = probes.select("fp", F.col("s.seg").alias("seg"), F.expr(f"explode(concat(array(s.value), {flips})) as slot"))
     close = f"bit_count(m ^ fp) <= {RADIUS} and m <> fp"
     met = written(
-        probes.join(slots, ["seg", "slot"]).select(
+        probes.join(slots.hint("merge"), ["seg", "slot"]).select(
             "fp", "seg", "slot", "n", F.expr(f"filter(members, m -> {close})").alias("near")
         ).where(f"n > {COLD} or size(near) > 0"),
         "probes",

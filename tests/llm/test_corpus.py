@@ -222,6 +222,20 @@ def test_simhash_components(docs, none):
     assert simhash.components(none).count() == 0 and simhash.keep_one(none).count() == 0
 
 
+def test_simhash_broadcasts_no_generated_rows(spark, monkeypatch):
+    """Tables that Spark takes for small by their files hold 2 to 34 rows for each of theirs once exploded."""
+    plans, write = {}, simhash.written
+
+    def noted(df, label):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, label)
+
+    monkeypatch.setattr(simhash, "written", noted)
+    fps = spark.range(2000).selectExpr("xxhash64(id) as fp")
+    assert simhash.link_edges(simhash.written(fps, "unique")).count() == 0
+    assert all("SortMergeJoin" in plans[k] and "BroadcastHashJoin" not in plans[k] for k in ("segments", "probes"))
+
+
 @pytest.mark.parametrize("cold, tile", [(48, 1024), (4, 64), (100_000, 10)])
 def test_simhash_links_in_dense_groups(spark, monkeypatch, cold, tile):
     monkeypatch.setattr(simhash, "COLD", cold)
