@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.session import ensure_checkpoint_dir, shuffles_freed
+from faultline.session import dropped, ensure_checkpoint_dir, shuffles_freed  # noqa: F401
 
 _SHIPPED = "faultline.shipped"
 
@@ -64,14 +64,6 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(table: DataFrame) -> None:
-    """Delete a table that ``written`` made and nothing reads any more."""
-    spark = table.sparkSession
-    for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def id_or_least(column: str = "doc_id") -> Column:
     """Null ids take part as the smallest id there is."""
     return F.coalesce(F.col(column).cast("long"), F.lit(NULL_ID))

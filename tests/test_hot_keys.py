@@ -12,6 +12,7 @@ from faultline.functions.quantiles import column_quantiles
 from faultline.operators import evaluation as EV
 from faultline.operators import labels as LB
 from faultline.operators.correlation import snapshots
+from faultline.operators.detector import detector_signals, signals_after
 from faultline.plans.file_queries import quarantined_envelopes
 from faultline.plans.signal_queries import decision_features
 from faultline.streaming import bus
@@ -105,3 +106,36 @@ def test_snapshots_deal_rows_out_once(rows, no_size_checks):
     s = snapshots(sig)
     assert "hashpartitioning(source_node" not in plan_of(s) and "hashpartitioning(coalesce(" not in plan_of(s)
     assert s.count() == 40
+
+
+def test_signals_deal_rows_out_once(rows, no_size_checks):
+    """Trailing flags come from a table of the groups before: no second shuffle of the rows by service and block."""
+    plan = plan_of(detector_signals(rows.withColumn("scored_at", F.col("generated_at"))))
+    assert "hashpartitioning(service_name" not in plan and "Expand" not in plan and "Generate" not in plan
+    plan = plan_of(snapshots(rows.withColumns({"source_node": F.lit("n"), **{c: F.lit(False) for c in ("anomaly_flag", "candidate_flag")}, "iforest_label": F.lit("normal"), "scored_at": F.col("generated_at")})))
+    assert "_blk" not in plan and plan.count("REPARTITION_BY_COL") <= 2  # for the last signals and for the rows, one exchange where both read the same
+
+
+def test_signals_with_unknown_scores_and_ids(spark):
+    """Rows without an id at a hot instant keep their place; unknown scores take one and count as no flag."""
+    data = [(None if i % 5 == 0 else f"e{i}", T0 if i < 300 else T0 + dt.timedelta(seconds=i), "payments-api", None if i % 7 == 0 else (i % 3) / 2, i) for i in range(360)]
+    df = spark.createDataFrame(data, "event_id string, generated_at timestamp, service_name string, anomaly_score double, n int").withColumn("scored_at", F.col("generated_at"))
+    got = signals_after(df, None, thresholds={"payments-api": 0.5}).orderBy("ordinal").collect()
+    assert [r.ordinal for r in got] == list(range(360)) and {r.ordinal_count for r in got} == {360}
+    assert sorted(r.n for r in got) == list(range(360)) and all(r.n >= 300 for r in got[300:])
+    flags = [r.candidate_flag for r in got]
+    for i, r in enumerate(got):
+        last = [f for f in flags[max(0, i - 31) : i + 1] if f is not None]
+        assert r.service_candidate_rate == (sum(last) / len(last) if last else None)
+        three = [f for f in flags[max(0, i - 2) : i + 1] if f is not None]
+        assert bool(r.anomaly_flag) == (i >= 2 and sum(three) == 3)
+
+
+def test_stored_tables_are_compressed_columns(spark):
+    from faultline.session import dropped, stored
+
+    df = spark.sql("select id, if(id % 3 = 0, null, struct(id as a, cast(id as string) as b)) as s, id % 2 = 0 as f from range(50)")
+    kept = stored(df)
+    assert kept.dtypes == df.dtypes and sorted(map(str, kept.collect())) == sorted(map(str, df.collect()))
+    assert all(f.endswith(".zstd.parquet") for f in kept.inputFiles())
+    dropped(kept)
