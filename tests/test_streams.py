@@ -264,3 +264,25 @@ def test_events_with_counts_need_no_calls(spark):
     early = incident_tables(N.with_calls(ok, N.call_counts(calls)))
     assert early["bundles"].collect() == incident_tables(ok, calls)["bundles"].collect()
     assert set(early) == {"slices", "incidents", "bundles"} and "bundles" not in incident_tables(ok)
+
+
+def test_calls_meet_narrow_rows_by_a_shuffle(spark, monkeypatch):
+    """Counts are joined before events are enriched; made by a generator, a row per event, they are not broadcast."""
+    from faultline.plans import signal_queries as SQ
+
+    calls = spark.sql("select id as event_id, inline(array(struct('shell_exec' as tool_name), struct('runbook_reader' as tool_name))) from range(1000)")
+    plan = N.with_calls(spark.range(1000).withColumnRenamed("id", "event_id"), N.call_counts(calls))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    met, join = [], N.with_calls
+    monkeypatch.setattr(N, "with_calls", lambda events, counts: (met.append(events.columns), join(events, counts))[1])
+    SQ.evaluated(spark, "/root/testdata/sf0.001")
+    assert len(met) == 1 and not {"services_observed", "correlation_engine", "snap_pay"} & set(met[0]) and len(met[0]) <= 7
+
+
+def test_stream_tables_are_compressed(spark, tmp_path):
+    from faultline.streaming.incidents import batch_sink, incident_tables
+
+    base = str(tmp_path / "out")
+    batch_sink(base, incident_tables)(spark.sql(ENRICHED), 0)
+    for name in ("slices", "incidents"):
+        assert all(f.endswith(".zstd.parquet") for f in spark.read.parquet(f"{base}/{name}").inputFiles())
