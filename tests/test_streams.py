@@ -286,3 +286,22 @@ def test_stream_tables_are_compressed(spark, tmp_path):
     batch_sink(base, incident_tables)(spark.sql(ENRICHED), 0)
     for name in ("slices", "incidents"):
         assert all(f.endswith(".zstd.parquet") for f in spark.read.parquet(f"{base}/{name}").inputFiles())
+
+
+def test_bundle_files_are_compressed_and_split_without_a_sort(spark, tmp_path):
+    from faultline.sources.writers import OPEN_FILES
+
+    ok, before, path = spark.sql(ENRICHED), spark.conf.get(OPEN_FILES), str(tmp_path / "bundle")
+    calls = N.call_counts(spark.createDataFrame([], "event_id string, tool_name string"))
+    bundle = N.incident_bundle(N.evaluate_policy(N.incidents(N.with_calls(ok, calls), keep=N.CALLS)))
+    seen, write = [], type(bundle.write).parquet
+    type(bundle.write).parquet = lambda self, *a, **k: (seen.append(spark.conf.get(OPEN_FILES)), write(self, *a, **k))[1]
+    try:
+        writers.write_incident_bundle(bundle, path)
+    finally:
+        type(bundle.write).parquet = write
+    assert seen == ["16"] and spark.conf.get(OPEN_FILES) == before
+    assert all(f.endswith(".zstd.parquet") for f in spark.read.parquet(path).inputFiles()) and spark.read.parquet(path).count() == ok.count()
+    writers.append_notifications(N.notification_intents(N.incidents(ok), severities=("low", "medium", "high")), str(tmp_path / "i"), compression="gzip")
+    read = spark.read.json(str(tmp_path / "i"))
+    assert all(f.endswith(".json.gz") for f in read.inputFiles()) and read.count() == ok.count()
