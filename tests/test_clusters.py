@@ -245,3 +245,32 @@ def test_reach_at_its_edge():
                 gap = x[:, i, None] - x[None, :, i]
                 total += gap * gap
             assert (NB.within(x, x, eps) == (np.sqrt(total) <= eps)).all()
+
+
+def test_distances_by_products_hold_at_any_size():
+    """Single precision decides what it can; copies, near copies, outliers and unknowns are summed. Pivots need no table of all axes."""
+    import tracemalloc
+
+    from faultline.operators import neighbours as NB
+
+    rng = np.random.default_rng(3)
+    for d in (2, 64):
+        for scale in (1e-200, 1e-20, 1e-3, 1.0, 1e5, 1e19, 1e160):
+            for off in (0, 100):
+                x, y = (rng.normal(size=(20, d)) + off) * scale, (rng.normal(size=(150, d)) + off) * scale
+                y[:20], y[20:40], y[40] = x, x * (1 + 1e-8), np.nan
+                gap = (x[:, None] - y[None]).transpose(2, 0, 1)
+                with np.errstate(all="ignore"):
+                    total = np.zeros(gap.shape[1:])
+                    for g in gap:
+                        total += g * g
+                    real = np.sqrt(total)
+                for eps in (float(np.sort(real[3])[75]), float(np.sort(real[3])[1]), scale, 0.0):
+                    assert (NB.within(x, y, eps) == (real <= eps)).all()
+                if scale <= 1:
+                    assert np.nanmax(np.abs(NB.to_pivots(x, y) - real)) < NB.SLACK / 2
+    x, pivots = rng.normal(size=(64, 64)), rng.normal(size=(1024, 64))
+    tracemalloc.start()
+    NB.to_pivots(x, pivots)
+    assert tracemalloc.get_traced_memory()[1] < 8 << 20
+    tracemalloc.stop()
